@@ -577,7 +577,7 @@ def mix_sql(id: str, seed: int = 0) -> str:
     on_sales(
         """SELECT s.id, round(CASE WHEN s.split = 'train' THEN
           CASE WHEN t.n - o.n > 0 THEN (t.s - o.s) / (t.n - o.n) ELSE g.m END
-          ELSE coalesce(t.s / t.n, g.m) END, 4) AS nation
+          ELSE coalesce(t.s / t.n, g.m) END, 5) AS nation
         FROM f s
         LEFT JOIN (SELECT nation, sum(target) AS s, count(*) AS n FROM f WHERE split = 'train'
           GROUP BY nation) t ON s.nation = t.nation
@@ -591,7 +591,7 @@ def mix_sql(id: str, seed: int = 0) -> str:
 def target_mean_folds(spark, folder):
     table = sales(spark, folder, ("nation",))
     out = encode.target_mean(table, "nation", folds=split.hash_fold("id", 5))
-    return out.df.select("id", r4("nation"))
+    return out.df.select("id", F.round("nation", 5).alias("nation"))
 
 
 # --- shuffles and splits

@@ -237,6 +237,8 @@ def fit_polynomials(
 
     None where a column has fewer than two values.
     """
+    if not columns:
+        return {}
     y = F.col(table.spec.target)
 
     def usable(c):

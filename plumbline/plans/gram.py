@@ -150,7 +150,7 @@ class Grams:
             w, _, it = recipe.solve(Moments.of(raw), warm)
             return Model(self.features, tuple(map(float, w)), 0.0, it)
         w, bias, it = recipe.solve(Moments.of(raw), warm)
-        bias = bias + self.shift[-1] - float(w @ self.shift[:-1])
+        bias = float(bias + self.shift[-1] - w @ self.shift[:-1])
         return Model(self.features, tuple(map(float, w)), bias, it)
 
     def _unshifted(self, raw: np.ndarray) -> np.ndarray:
@@ -246,9 +246,10 @@ def _partial_products(rows: DataFrame, names: list[str], shift: np.ndarray) -> d
             for k in np.unique(fold):
                 part = x[fold == k]
                 sums[int(k)] = sums.get(int(k), 0) + part.T @ part
-        yield pd.DataFrame(
-            {"fold": list(sums), "cells": [g[at].tolist() for g in sums.values()]}
-        )
+        if sums:
+            yield pd.DataFrame(
+                {"fold": list(sums), "cells": [g[at].tolist() for g in sums.values()]}
+            )
 
     partial = rows.mapInPandas(scan, "fold int, cells array<double>")
 
@@ -259,7 +260,10 @@ def _partial_products(rows: DataFrame, names: list[str], shift: np.ndarray) -> d
         for pdf in batches:
             for k, cells in zip(pdf["fold"], pdf["cells"]):
                 sums[int(k)] = sums.get(int(k), 0) + np.asarray(cells)
-        yield pd.DataFrame({"fold": list(sums), "cells": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame(
+                {"fold": list(sums), "cells": [v.tolist() for v in sums.values()]}
+            )
 
     # partials of one fold are spread over the merging tasks, each of which keeps one running sum
     merged = partial.repartition(MERGE_TASKS).mapInPandas(merge, "fold int, cells array<double>")

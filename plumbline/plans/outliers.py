@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.tdist import t_two_sided
 from plumbline.operators.columns import drop_rows
@@ -55,7 +56,8 @@ def studentized_from(table: FeatureTable, grams: Grams, intercept: bool) -> Data
     dof = n - rank - 1
 
     rows = table.train.dropna(subset=[*features, target])
-    schema = rows.schema.add("t", "double").add("p", "double").add("bonf_p", "double")
+    extra = [T.StructField(n, T.DoubleType()) for n in ("t", "p", "bonf_p")]
+    schema = T.StructType([*rows.schema.fields, *extra])
 
     def score(batches: Iterator):
         for pdf in batches:
@@ -145,3 +147,51 @@ def error_model(
     model = fold_grams(scored, features, "score").fit(recipe)
     second = scored.withColumn("error_score", F.abs(model.predict() - F.col("score")))
     return model, rank_compare(second, id, "score", "error_score")
+
+
+def greedy_removal(
+    table: FeatureTable, features: Sequence[str], fold, max_rounds: int
+) -> tuple[list[int], DataFrame]:
+    """Take out one train row per round, the one whose absence scores best, while that helps.
+
+    Every round scores the removal of each row in one scan.  Returns the ids and a
+    (round, id, score) history that starts with the score of all rows.
+    """
+    key = table.spec.id
+    grams = fold_grams(table.train, features, table.spec.target, fold)
+    best = grams.cv_rmse(Linear())
+    history: list[tuple] = [(0, None, best)]
+    gone: list[int] = []
+    cur = table
+    for r in range(1, max_rounds + 1):
+        top = loo_influence(cur, features, fold).orderBy("score", key).first()
+        if top is None or top["score"] >= best:
+            break
+        best = top["score"]
+        gone.append(top[key])
+        history.append((r, top[key], best))
+        cur = drop_rows(table, gone)
+    spark = table.df.sparkSession
+    return gone, spark.createDataFrame(history, "round int, id bigint, score double")
+
+
+def outlier_report(
+    table: FeatureTable, scored: DataFrame, k: int, **limits
+) -> DataFrame:
+    """The k worst predicted rows, each with its rare cells.
+
+    Columns: id, actual, predicted, score, and column, value, kind, pct, n of a rare cell (null
+    where a row has none).
+    """
+    from plumbline.operators.joins import worst_k
+    from plumbline.operators.quality import row_rarity
+
+    key = table.spec.id
+    worst = worst_k(
+        scored.select(key, F.col(table.spec.target).alias("actual"), "predicted", "score"),
+        key,
+        "score",
+        k,
+    )
+    rarity = row_rarity(table, rows=worst, **limits)
+    return worst.join(rarity, key, "left")
