@@ -261,8 +261,8 @@ def model_comparison(spark, folder):
 @query("binned_regression")
 def binned_regression(spark, folder):
     """Test predictions of a lightly regularised linear model on one-hot quantile bins."""
-    table = numeric.quantile_bins(signal(spark, folder), {"acctbal": 50})
-    table = encode.one_hot_levels(table, ["acctbal", "status"])
+    table = numeric.quantile_bin_one_hot(signal(spark, folder), {"acctbal": 50})
+    table = encode.one_hot_levels(table, ["status"])
     model = models.fit_linear(table, table.features, ridge(1e-6))
     return table.test.select("id", model.predict().alias("predicted"))
 

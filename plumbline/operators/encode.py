@@ -52,7 +52,6 @@ def one_hot_levels(
     table: FeatureTable,
     columns: Sequence[str] | None = None,
     strict: bool = True,
-    check_constant: bool = True,
 ) -> FeatureTable:
     """One 0/1 column per declared level but the first; null and undeclared values are all 0.
 
@@ -65,7 +64,7 @@ def one_hot_levels(
         for level in table.spec[c].categories[1:]:
             hit = F.coalesce(F.col(c) == F.lit(level), F.lit(False)).cast("int")
             dummies[safe_name(f"{c}_{level}")] = (c, hit)
-    if check_constant and dummies:
+    if dummies:
         spread = table.train.agg(
             *[(F.max(e) != F.min(e)).alias(n) for n, (_, e) in dummies.items()]
         ).first()

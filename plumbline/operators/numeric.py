@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.encode import one_hot_levels
 from plumbline.plans.quantiles import column_quantiles
 from plumbline.plans.storage import SMALL_ROWS
 from plumbline.spec import CATEGORICAL, ColumnSpec
@@ -116,15 +115,23 @@ def quantile_uniform(
 
 
 def fit_bin_edges(
-    table: FeatureTable, bins: dict[str, int], small: int = SMALL_ROWS
-) -> dict[str, list[float] | None]:
-    """Inner quantile edges per column, or None where ties leave fewer bins than asked for."""
-    probs = {c: [i / n for i in range(n + 1)] for c, n in bins.items()}
+    table: FeatureTable, bins: Iterable[tuple[str, int]], small: int = SMALL_ROWS
+) -> dict[tuple[str, int], list[float] | None]:
+    """Inner quantile edges per (column, bin count), all from one quantile fit.
+
+    None where ties leave fewer bins than asked for.
+    """
+    wanted = list(bins)
+    probs: dict[str, list[float]] = {}
+    for c, n in wanted:
+        probs.setdefault(c, []).extend(i / n for i in range(n + 1))
+    probs = {c: sorted(set(p)) for c, p in probs.items()}
     found = column_quantiles(table.train, probs, small)
-    out: dict[str, list[float] | None] = {}
-    for c, edges in found.items():
-        whole = len(set(edges)) == bins[c] + 1
-        out[c] = edges[1:-1] if whole else None
+    out: dict[tuple[str, int], list[float] | None] = {}
+    for c, n in wanted:
+        at = dict(zip(probs[c], found[c]))
+        edges = [at[i / n] for i in range(n + 1)] if at else []
+        out[c, n] = edges[1:-1] if len(set(edges)) == n + 1 else None
     return out
 
 
@@ -147,21 +154,42 @@ def quantile_bins(
 
     The outer bins are open, so any scored value falls into the level that train rows use.
     """
-    edges = fit_bin_edges(table, bins, small)
+    edges = fit_bin_edges(table, bins.items(), small)
     if any(e is None for e in edges.values()):
         return None
     spec = table.spec
     for c, n in bins.items():
         spec = spec.with_column(c, ColumnSpec(CATEGORICAL, tuple(str(i) for i in range(n))))
-    cols = {c: bin_id(F.col(c), e).cast("string") for c, e in edges.items()}
+    cols = {c: bin_id(F.col(c), e).cast("string") for (c, _), e in edges.items()}
     return replace(table, df=table.df.withColumns(cols), spec=spec)
 
 
+def bin_flags(x: Column, edges: Sequence[float]) -> list[Column]:
+    """0/1 columns for every bin but the first; null gives 0."""
+    flags = []
+    for i, lo in enumerate(edges):
+        inside = x > F.lit(lo)
+        if i + 1 < len(edges):
+            inside = inside & (x <= F.lit(edges[i + 1]))
+        flags.append(F.coalesce(inside, F.lit(False)).cast("int"))
+    return flags
+
+
 def quantile_bin_one_hot(
     table: FeatureTable, bins: dict[str, int], small: int = SMALL_ROWS
 ) -> FeatureTable | None:
-    binned = quantile_bins(table, bins, small)
-    return None if binned is None else one_hot_levels(binned, list(bins), check_constant=False)
+    """Replace numeric columns by 0/1 columns of their bins; None if a column has too few bins."""
+    edges = fit_bin_edges(table, bins.items(), small)
+    if any(e is None for e in edges.values()):
+        return None
+    flags = {
+        f"{c}_{i + 1}": flag
+        for (c, _), e in edges.items()
+        for i, flag in enumerate(bin_flags(F.col(c), e))
+    }
+    kept = [c for c in table.df.columns if c not in bins]
+    df = table.df.select(*kept, *[e.alias(n) for n, e in flags.items()])
+    return replace(table, df=df, spec=table.spec.without(*bins).with_numeric(flags))
 
 
 def apply_recipe(
@@ -172,8 +200,8 @@ def apply_recipe(
     A column with too few distinct quantiles for its bins passes through unbinned.
     """
     bins = {c: int(s.rsplit("_", 1)[1]) for c, s in steps if s.startswith("quantile_bin_")}
-    edges = fit_bin_edges(table, bins, small)
-    out = {c: bin_id(F.col(c), e) for c, e in edges.items() if e is not None}
+    edges = fit_bin_edges(table, bins.items(), small)
+    out = {c: bin_id(F.col(c), e) for (c, _), e in edges.items() if e is not None}
     out |= {c: F.lower(c) for c, s in steps if s == "lower"}
     return table.with_columns(out)
 
@@ -231,14 +259,15 @@ class Polynomial:
 
 
 def fit_polynomials(
-    table: FeatureTable, columns: Sequence[str], order: int, skip: float | None = None
-) -> dict[str, Polynomial | None]:
-    """Least-squares polynomials target ~ f(column), all columns in two aggregates.
+    table: FeatureTable, columns: Sequence[str], orders: Sequence[int], skip: float | None = None
+) -> dict[tuple[str, int], Polynomial | None]:
+    """Least-squares polynomials target ~ f(column) per (column, order), from two aggregates.
 
     None where a column has fewer than two values.
     """
-    if not columns:
-        return {}
+    out: dict[tuple[str, int], Polynomial | None] = {(c, o): None for c in columns for o in orders}
+    if not out:
+        return out
     y = F.col(table.spec.target)
 
     def usable(c):
@@ -251,27 +280,28 @@ def fit_polynomials(
         *[F.stddev_pop(x[c]).alias(f"s_{c}") for c in columns],
     ).first()
     ok = [c for c in columns if first[f"s_{c}"]]
-    out: dict[str, Polynomial | None] = {c: None for c in columns}
     if not ok:
         return out
-    sums = []
+    top, sums = max(orders), []
     for c in ok:
         t = (x[c] - F.lit(first[f"m_{c}"])) / F.lit(first[f"s_{c}"])
         power = F.when(x[c].isNotNull(), F.lit(1.0))
-        for k in range(2 * order + 1):
+        for k in range(2 * top + 1):
             sums.append(F.sum(power).alias(f"p{k}_{c}"))
-            if k <= order:
+            if k <= top:
                 sums.append(F.sum(power * y).alias(f"q{k}_{c}"))
             power = power * t
     got = table.train.agg(*sums).first()
-    for c in ok:
+    for c, order in ((c, o) for c in ok for o in orders):
         gram = np.array(
             [[got[f"p{i + j}_{c}"] for j in range(order + 1)] for i in range(order + 1)]
         )
         moment = np.array([got[f"q{i}_{c}"] for i in range(order + 1)])
         # fewer values than coefficients leave the system singular: take the smallest solution
         coefs = np.linalg.lstsq(gram, moment, rcond=1e-12)[0]
-        out[c] = Polynomial(tuple(float(v) for v in coefs), first[f"m_{c}"], first[f"s_{c}"])
+        out[c, order] = Polynomial(
+            tuple(float(v) for v in coefs), first[f"m_{c}"], first[f"s_{c}"]
+        )
     return out
 
 
@@ -279,7 +309,7 @@ def poly_linearize(
     table: FeatureTable, column: str, order: int = 2, skip: float | None = None
 ) -> FeatureTable | None:
     """Replace a column by its fitted polynomial; rows with the skipped value stay unchanged."""
-    fitted = fit_polynomials(table, [column], order, skip)[column]
+    fitted = fit_polynomials(table, [column], [order], skip)[column, order]
     if fitted is None:
         return None
     x = F.col(column)

@@ -207,18 +207,18 @@ def fold_grams(
     """
     features = list(features)
     names = [*features, target]
-    rows = df.dropna(subset=names).select(
+    rows = df.select(
         *[F.col(c).cast("double").alias(c) for c in names],
         (fold if fold is not None else F.lit(0)).cast("int").alias("__fold"),
     )
     means = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
-    shift = np.array([means[c] or 0.0 for c in names])
+    shift = np.array([0.0 if means[c] is None or np.isnan(means[c]) else means[c] for c in names])
     d = len(names) + 1
     upper = [(i, j) for i in range(d) for j in range(i, d)]
     if len(names) <= JVM_WIDTH:
         z = [F.lit(1.0), *[F.col(c) - F.lit(float(s)) for c, s in zip(names, shift)]]
         cells = [F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i, j in upper]
-        found = rows.groupBy("__fold").agg(*cells).collect()
+        found = rows.dropna(subset=names).groupBy("__fold").agg(*cells).collect()
         packed = {r["__fold"]: [r[f"g{i}_{j}"] for i, j in upper] for r in found}
     else:
         packed = _partial_products(rows, names, shift)
@@ -240,8 +240,11 @@ def _partial_products(rows: DataFrame, names: list[str], shift: np.ndarray) -> d
 
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
-            fold = pdf["__fold"].to_numpy()
             x = pdf[names].to_numpy(dtype=float) - shift
+            # incomplete rows are dropped here: as a filter, the test for nulls would repeat the
+            # expression behind every column
+            whole = np.isfinite(x).all(axis=1)
+            x, fold = x[whole], pdf["__fold"].to_numpy()[whole]
             x = np.column_stack([np.ones(len(x)), x])
             for k in np.unique(fold):
                 part = x[fold == k]

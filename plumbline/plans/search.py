@@ -44,6 +44,11 @@ class Variant(NamedTuple):
         return safe_name(f"{self.column}_{self.technique}").rstrip("_")
 
 
+def bin_count(technique: str) -> int:
+    """Number of bins of a binning technique, 0 for any other."""
+    return int(technique[13:-1]) if technique.startswith("quantile_bin(") else 0
+
+
 def all_variants(table: FeatureTable) -> list[Variant]:
     out = [Variant(c, t) for c in table.numeric for t in NUMERIC_TECHNIQUES]
     return out + [Variant(c, t) for c in table.categorical for t in CATEGORICAL_TECHNIQUES]
@@ -88,19 +93,13 @@ def valid_variants(table: FeatureTable, variants: Sequence[Variant], small=SMALL
             live = live | (F.max(hit) != F.min(hit))
         aggs.append(live.alias(f"live__{c}"))
     facts = table.train.agg(*aggs).first().asDict()
-    binned = {}
-    for n in (5, 10, 20):
-        binned[n] = [c for c in numbers if Variant(c, f"quantile_bin({n})") in set(variants)]
-    edges = {
-        (c, n): e
-        for n, cs in binned.items()
-        for c, e in numeric.fit_bin_edges(table, {c: n for c in cs}, small).items()
-    }
+    bins = [(v.column, bin_count(v.technique)) for v in variants if bin_count(v.technique)]
+    edges = numeric.fit_bin_edges(table, bins, small)
 
     def valid(v: Variant) -> bool:
         c, t = v
-        if t.startswith("quantile_bin"):
-            return edges.get((c, int(t[13:-1]))) is not None
+        if bin_count(t):
+            return edges[c, bin_count(t)] is not None
         if t == "extract_0":
             return facts[f"zero__{c}"] and facts[f"slope__{c}"]
         if t == "extract_0_linearize_order_2":
@@ -136,8 +135,8 @@ def apply_variant(
         out = numeric.poly_linearize(table, c, 3)
     elif t == "extract_0_linearize_order_2":
         out = numeric.poly_linearize(table, c, 2, skip=0)
-    elif t.startswith("quantile_bin"):
-        out = numeric.quantile_bin_one_hot(table, {c: int(t[13:-1])}, small)
+    elif bin_count(t):
+        out = numeric.quantile_bin_one_hot(table, {c: bin_count(t)}, small)
     elif t == "one_hot":
         out = encode.one_hot_levels(table, [c], strict=False)
     elif t == "label_encoding":
@@ -205,26 +204,22 @@ def variant_columns(
             if moved is not None:
                 v = Variant(c, "extract_0")
                 out[v] = {v.name: F.when(F.col(c) == 0, F.lit(moved)).otherwise(F.col(c))}
-    for t, order, skip in (
-        ("linearize_order_2", 2, None),
-        ("linearize_order_3", 3, None),
-        ("extract_0_linearize_order_2", 2, 0),
-    ):
-        for c, p in numeric.fit_polynomials(table, by.get(t, []), order, skip).items():
-            if p is not None:
-                v, value = Variant(c, t), p.apply(F.col(c))
-                if skip is not None:
-                    value = F.when(F.col(c) == skip, F.col(c)).otherwise(value)
-                out[v] = {v.name: value}
-    for n in (5, 10, 20):
-        t = f"quantile_bin({n})"
-        for c, edges in numeric.fit_bin_edges(table, {c: n for c in by.get(t, [])}, small).items():
-            if edges is not None:
-                v, bin_of = Variant(c, t), numeric.bin_id(F.col(c), edges)
-                out[v] = {
-                    f"{v.name}_{i}": F.coalesce(bin_of == i, F.lit(False)).cast("int")
-                    for i in range(1, n)
-                }
+    lines = sorted({*by.get("linearize_order_2", []), *by.get("linearize_order_3", [])})
+    for (c, order), p in numeric.fit_polynomials(table, lines, (2, 3)).items():
+        v = Variant(c, f"linearize_order_{order}")
+        if p is not None and c in by.get(v.technique, []):
+            out[v] = {v.name: p.apply(F.col(c))}
+    t = "extract_0_linearize_order_2"
+    for (c, _), p in numeric.fit_polynomials(table, by.get(t, []), (2,), skip=0).items():
+        if p is not None:
+            v, x = Variant(c, t), F.col(c)
+            out[v] = {v.name: F.when(x == 0, x).otherwise(p.apply(x))}
+    bins = [(v.column, bin_count(v.technique)) for v in variants if bin_count(v.technique)]
+    for (c, n), edges in numeric.fit_bin_edges(table, bins, small).items():
+        if edges is not None:
+            v = Variant(c, f"quantile_bin({n})")
+            flags = numeric.bin_flags(F.col(c), edges)
+            out[v] = {f"{v.name}_{i + 1}": flag for i, flag in enumerate(flags)}
     for c in by.get("label_encoding", []):
         v = Variant(c, "label_encoding")
         out[v] = {v.name: encode.ordinal_code(F.col(c), table.spec[c].categories)}
