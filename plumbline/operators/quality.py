@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators.columns import long_form, unpivot_row
+from plumbline.operators.columns import long_form
 from plumbline.plans.prefix import running_sums
-from plumbline.plans.storage import SMALL_ROWS, lookup_join
-from plumbline.spec import NUMERIC
+from plumbline.plans.storage import SMALL_ROWS, lookup_join, materialize
+from plumbline.spec import CATEGORICAL, NUMERIC
 from plumbline.table import TRAIN, FeatureTable
 
 
@@ -193,41 +193,48 @@ def value_counts(table: FeatureTable, column: str) -> DataFrame:
     return table.df.groupBy(table.spec.split, column).agg(F.count("*").alias("n"))
 
 
-def profile(df: DataFrame, columns: Sequence[str], binary: bool = True) -> DataFrame:
-    """(column, n_distinct, has_null, type) of each column, from grouped value counts.
+def _is_number(kind: str) -> bool:
+    return kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or "decimal" in kind
+
+
+def cell_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, is_null, n): one row per distinct value of each column.
 
-    Distinct values are counted after a shuffle on (column, value), so neither a column with
-    many values nor a value with many rows lands in one task.
+    Values are counted after a shuffle on (column, value), so neither a column with many values
+    nor a value with many rows lands in one task.
     """
     types = dict(df.dtypes)
-    numbers = ("double", "float", "int", "bigint", "smallint", "tinyint")
-    kind = F.create_map(
-        *[
-            F.lit(x)
-            for c in columns
-            for x in (c, "NUMERIC" if types[c] in numbers or "decimal" in types[c] else "CATEGORICAL")
-        ]
-    )
-    per_value = long_form(df, [], columns, "string").groupBy("column", "value").count()
-    out = per_value.groupBy("column").agg(
-        F.count("value").alias("n_distinct"),
-        F.max(F.col("value").isNull().cast("int")).alias("has_null"),
+    numbers = [c for c in columns if _is_number(types[c])]
+    texts = [c for c in columns if c not in numbers]
+    out = None
+    for names, kind in ((numbers, "double"), (texts, "string")):
+        if names:
+            part = long_form(df, [], names, kind).groupBy("column", "value")
+            part = part.agg(F.count("*").alias("n")).select(
+                "column", F.col("value").isNull().alias("is_null"), "n"
+            )
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def profile(df: DataFrame, columns: Sequence[str], binary: bool = True) -> DataFrame:
+    """(column, n_distinct, has_null, type) of each column."""
+    types = dict(df.dtypes)
+    declared = F.when(
+        F.col("column").isin([c for c in columns if _is_number(types[c])]), NUMERIC
+    ).otherwise(CATEGORICAL)
+    out = cell_counts(df, columns).groupBy("column").agg(
+        F.count_if(~F.col("is_null")).alias("n_distinct"),
+        F.max(F.col("is_null").cast("int")).alias("has_null"),
     )
-    declared = kind[F.col("column")]
-    two = (F.col("n_distinct") == 2) & F.lit(binary) & (declared == "CATEGORICAL")
+    two = (F.col("n_distinct") == 2) & F.lit(binary) & (declared == CATEGORICAL)
     return out.withColumn("type", F.when(two, "BINARY").otherwise(declared))
 
 
 def mode_count(table: FeatureTable, columns: Sequence[str]) -> DataFrame:
     """(column, mode_n): how many train rows hold the most frequent value."""
-    long = long_form(table.train, [], columns, "string")
-    return (
-        long.where("value IS NOT NULL")
-        .groupBy("column", "value")
-        .count()
-        .groupBy("column")
-        .agg(F.max("count").alias("mode_n"))
-    )
+    counts = cell_counts(table.train, columns).where("NOT is_null")
+    return counts.groupBy("column").agg(F.max("n").alias("mode_n"))
 
 
 def row_rarity(
@@ -252,7 +259,8 @@ def row_rarity(
     reports = []
     if table.numeric:
         cells = long_form(table.train, [], table.numeric, "double").where("value IS NOT NULL")
-        counts = cells.groupBy("column", "value").agg(F.count("*").alias("n_match"))
+        # written once: it is read for the totals, the running counts and the size checks
+        counts = materialize(cells.groupBy("column", "value").agg(F.count("*").alias("n_match")))
         sizes = counts.groupBy("column").agg(F.sum("n_match").alias("n_all"))
         upto = running_sums(counts, ["column"], ["value"], {"n_below": F.col("n_match")}, small)
         stats = upto.join(F.broadcast(sizes), "column").withColumn(

@@ -24,24 +24,34 @@ def group_quantiles(
     probs: Sequence[float],
     small: int = SMALL_ROWS,
     approx: bool = False,
+    accuracy: int | None = None,
 ) -> DataFrame:
-    """One row per key group: keys and ``q``, an array with one quantile per probability."""
+    """One row per key group: keys and ``q``, an array with one quantile per probability.
+
+    ``small`` bounds the rows that are handled without brackets.  ``accuracy`` is that of the
+    sketch behind the brackets; groups with fewer rows than it do not need one.
+    """
     probs = [float(p) for p in probs]
     base = df.where(F.col(value).isNotNull())
     base = base.select(*keys, F.col(value).cast("double").alias("__v"))
     if approx:
         return base.groupBy(*keys).agg(F.percentile_approx("__v", probs, 10_000).alias("q"))
     if at_most(base, small):
-        return base.groupBy(*keys).agg(
-            F.percentile("__v", F.array(*map(F.lit, probs))).alias("q")
-        )
-    return _bracketed(base, list(keys), probs, small)
+        return _plain(base, keys, probs)
+    return _bracketed(
+        base, list(keys), probs, small, accuracy or max(10_000, 8_000 * len(probs))
+    )
+
 
+def _plain(base: DataFrame, keys: Sequence[str], probs: list[float]) -> DataFrame:
+    return base.groupBy(*keys).agg(F.percentile("__v", F.array(*map(F.lit, probs))).alias("q"))
 
-def _bracketed(base: DataFrame, keys: list[str], probs: list[float], small: int) -> DataFrame:
-    # the sketch's rank error is n / accuracy; a bracket spans twice that on either side
-    accuracy = max(10_000, 8_000 * len(probs))
-    margin = 2.0 / accuracy
+
+def _bracketed(
+    base: DataFrame, keys: list[str], probs: list[float], small: int, accuracy: int
+) -> DataFrame:
+    # the sketch's rank error is n / accuracy; a bracket spans four times that on either side
+    margin = 4.0 / accuracy
     grid = [g for p in probs for g in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = materialize(
         base.groupBy(*keys).agg(
@@ -55,13 +65,16 @@ def _bracketed(base: DataFrame, keys: list[str], probs: list[float], small: int)
     ranks = [F.lit(p) * (F.col("__n") - 1) for p in probs]
     plan = sketch.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
+        "__n",
         F.array(*bracket).alias("__br"),
         F.array(*ranks).alias("__rank"),
     )
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    rows = lookup_join(base, plan.drop("__rank"), same, "inner")
+    joined = lookup_join(base, plan.drop("__rank"), same, "inner")
+    few = F.col("__n") < accuracy
+    rows = joined.where(~few)
 
     v = F.col("__v")
     inside = F.exists("__br", lambda b: v.between(b["lo"], b["hi"]))
@@ -105,15 +118,19 @@ def _bracketed(base: DataFrame, keys: list[str], probs: list[float], small: int)
     per_rank = found.groupBy(*keys, F.col("t.i").alias("__i")).agg(
         F.sum(checked * weight).alias("__q")
     )
-    return per_rank.groupBy(*keys).agg(
+    large = per_rank.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda s: s["__q"]
         ).alias("q")
     )
+    return _plain(joined.where(few), keys, probs).unionByName(large)
 
 
 def column_quantiles(
-    df: DataFrame, probs: Mapping[str, Sequence[float]], small: int = SMALL_ROWS
+    df: DataFrame,
+    probs: Mapping[str, Sequence[float]],
+    small: int = SMALL_ROWS,
+    accuracy: int | None = None,
 ) -> dict[str, list[float]]:
     """Exact quantiles of several columns, as driver-side constants."""
     if not probs:
@@ -137,6 +154,8 @@ def column_quantiles(
             )
         )
     )
-    found = group_quantiles(long, ["column"], "value", grid, small).collect()
+    found = group_quantiles(
+        long, ["column"], "value", grid, small, accuracy=accuracy
+    ).collect()
     by_col = {r["column"]: dict(zip(grid, r["q"])) for r in found}
     return {c: [by_col[c][p] for p in ps] if c in by_col else [] for c, ps in probs.items()}

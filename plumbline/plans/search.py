@@ -246,12 +246,7 @@ def variant_columns(
                 value = F.try_element_at(F.create_map(*map(F.lit, pairs)), F.col(c))
                 v = Variant(c, f"target_{kind}")
                 out[v] = {v.name: F.coalesce(value, F.lit(default))}
-    # columns that do not vary over the train rows carry nothing
-    spreads = table.train.agg(
-        *[(F.max(e) > F.min(e)).alias(n) for cols in out.values() for n, e in cols.items()]
-    ).first()
-    live = {v: {n: e for n, e in cols.items() if spreads[n]} for v, cols in out.items()}
-    return {v: live[v] for v in variants if live.get(v)}
+    return {v: out[v] for v in variants if v in out}
 
 
 def encode_variants(
@@ -269,7 +264,10 @@ def encode_variants(
     )
     encoded = FeatureTable(materialize(flat), spec.only([]).with_numeric(filled))
     grams = fold_grams(encoded.train, list(filled), spec.target, fold)
-    return Encoded(encoded, {v: list(cols) for v, cols in made.items()}, grams)
+    # columns that do not vary over the train rows carry nothing
+    live = {c for c, sd in zip(grams.features, grams.std()) if sd > 0}
+    columns = {v: [c for c in cols if c in live] for v, cols in made.items()}
+    return Encoded(encoded, {v: cols for v, cols in columns.items() if cols}, grams)
 
 
 # --- best-of and greedy search over any kind of variant

@@ -39,14 +39,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
-    return df.count() <= rows
+    """Whether a frame has no more rows than that; a long one is not read to its end."""
+    return df.offset(rows).isEmpty()
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a lookup table with unique keys, broadcasting it only if its row count allows.
 
-    Above the bound the join shuffles and adaptive skew handling splits hot keys of ``left``.
+    The check fetches one row more than may be broadcast.  Above the bound the join shuffles,
+    and adaptive skew handling splits the hot keys of ``left``.
     """
-    if at_most(right, BROADCAST_ROWS):
-        right = F.broadcast(right)
+    rows = right.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) <= BROADCAST_ROWS:
+        names = right.columns
+        fixed = left.sparkSession.createDataFrame(rows, right.schema, verifySchema=False)
+        right = F.broadcast(fixed.toDF(*names))
     return left.join(right, on, how)
