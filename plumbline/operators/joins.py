@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.plans.prefix import positions
-from plumbline.plans.storage import SMALL_ROWS, materialize
+from plumbline.plans.storage import SMALL_ROWS, lookup_join, materialize
 
 
 def complete_range(
@@ -111,8 +111,8 @@ def neighbor_average(
 ) -> DataFrame:
     """(probe_id, neighbor_mean): mean target of the neighbours of each probe."""
     values = train.select(F.col(id).alias("neighbor_id"), F.col(target).alias("__y"))
-    # the neighbour list is probes x k rows; the train side is never broadcast
-    joined = values.join(neighbors.select("probe_id", "neighbor_id"), "neighbor_id")
+    pairs = neighbors.select("probe_id", "neighbor_id")
+    joined = lookup_join(values, pairs, "neighbor_id", "inner")
     return joined.groupBy("probe_id").agg(F.avg("__y").alias("neighbor_mean"))
 
 

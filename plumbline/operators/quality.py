@@ -277,7 +277,15 @@ def row_rarity(
             lambda e: (e["n"] * 100 / whole).cast("bigint") <= limit,
         )
         extreme = stats.where(rare).select("column", "value", F.inline(ends))
-        mine = long_form(picked, [key], table.numeric, "double").where("value IS NOT NULL")
+        # reported values lie beyond one cut per column and end, so the bulk of the rows, and
+        # any frequent value with them, never reaches the join
+        beyond = F.lit(False)
+        for r in extreme.groupBy("column", "kind").agg(
+            F.min("value").alias("lo"), F.max("value").alias("hi")
+        ).collect():
+            cut = F.col("value") >= r["lo"] if r["kind"] == "top" else F.col("value") <= r["hi"]
+            beyond = beyond | ((F.col("column") == r["column"]) & cut)
+        mine = long_form(picked, [key], table.numeric, "double").where(beyond)
         hits = lookup_join(mine, extreme, ["column", "value"], "inner")
         reports.append(
             hits.select(key, "column", F.col("value").cast("string"), "kind", pct.alias("pct"), "n")

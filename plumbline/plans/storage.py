@@ -44,7 +44,7 @@ def at_most(df: DataFrame, rows: int) -> bool:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a lookup table with unique keys, broadcasting it only if its row count allows.
+    """Join a lookup table, broadcasting it only if its row count allows.
 
     The check fetches one row more than may be broadcast.  Above the bound the join shuffles,
     and adaptive skew handling splits the hot keys of ``left``.
