@@ -648,3 +648,24 @@ def holdout(spark, folder):
 def percent_range(spark, folder):
     ids = read(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
     return split.percent_range(ids, "id", 20, 70)
+
+
+def _all_means_sql() -> str:
+    names = ("status", "segment", "flag")
+    joins = " ".join(
+        f"""LEFT JOIN (SELECT {c}, avg(target) AS m FROM sales WHERE split = 'train'
+        GROUP BY {c}) t_{c} ON s.{c} = t_{c}.{c}"""
+        for c in names
+    )
+    picks = ", ".join(f"round(coalesce(t_{c}.m, g.m), 4) AS {c}" for c in names)
+    return on_sales(
+        f"""SELECT s.id, {picks} FROM sales s {joins},
+        (SELECT avg(target) AS m FROM sales WHERE split = 'train') g"""
+    )
+
+
+@query("target_mean_all", _all_means_sql())
+def target_mean_all(spark, folder):
+    """Every categorical column by its category means, fitted in one grouped pass."""
+    out = encode.target_stats_all(sales(spark, folder, ("status", "segment", "flag")))
+    return out.df.select("id", r4("status"), r4("segment"), r4("flag"))

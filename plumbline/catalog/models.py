@@ -13,6 +13,7 @@ from plumbline.catalog.tables import r4, union_all
 from plumbline.operators import encode, joins, metrics, missing, numeric
 from plumbline.operators import quality as qual
 from plumbline.operators import sampling as split
+from plumbline.operators.columns import retain_columns
 from plumbline.plans import models, outliers, scorestats, search
 from plumbline.plans.gram import elastic_net, fold_grams, lasso, ols, ridge
 from plumbline.plans.storage import checkpoint_dir, materialize
@@ -109,7 +110,7 @@ def ols_fit(spark, folder):
 
 def encoded_signal(spark, folder):
     """Status one-hot, numbers scaled, no nulls."""
-    table = encode.one_hot_levels(signal(spark, folder), ["status"])
+    table = encode.one_hot_levels(signal(spark, folder).materialized(), ["status"])
     return numeric.zscore(table)
 
 
@@ -261,7 +262,7 @@ def model_comparison(spark, folder):
 @query("binned_regression")
 def binned_regression(spark, folder):
     """Test predictions of a lightly regularised linear model on one-hot quantile bins."""
-    table = numeric.quantile_bin_one_hot(signal(spark, folder), {"acctbal": 50})
+    table = numeric.quantile_bin_one_hot(signal(spark, folder).materialized(), {"acctbal": 50})
     table = encode.one_hot_levels(table, ["status"])
     model = models.fit_linear(table, table.features, ridge(1e-6))
     return table.test.select("id", model.predict().alias("predicted"))
@@ -272,15 +273,14 @@ FEATURES = ("sum_qty", "acctbal", "n_lines", "mo_sold")
 
 @query("poly_ridge")
 def poly_ridge(spark, folder):
-    table = numeric.zscore(signal(spark, folder), FEATURES)
+    table = numeric.zscore(signal(spark, folder).materialized(), FEATURES)
     predict = models.poly_ridge_fitter(FEATURES, "target")(table.train)
     return predict(table.test).select("id", "prediction")
 
 
 @query("gbt_fit")
 def gbt_fit(spark, folder):
-    table = signal(spark, folder)
-    table = table.with_df(materialize(table.df))
+    table = signal(spark, folder).materialized()
     predict = models.gbt_fitter(FEATURES, "target", max_iter=10)(table.train)
     return predict(table.test).select("id", "prediction")
 
@@ -288,7 +288,7 @@ def gbt_fit(spark, folder):
 @query("stacking")
 def stacking(spark, folder):
     """Lasso and polynomial ridge below, boosted trees on top of their out-of-fold predictions."""
-    table = numeric.zscore(signal(spark, folder), FEATURES)
+    table = numeric.zscore(signal(spark, folder).materialized(), FEATURES)
     bases = {
         "lasso": models.linear_fitter(FEATURES, "target", lasso(0.0005)),
         "poly": models.poly_ridge_fitter(FEATURES, "target"),
@@ -371,7 +371,8 @@ def weight_sweep(spark, folder):
 @query("submission")
 def submission(spark, folder):
     """Fit on the log target, predict test rows, and go back to target units."""
-    table = sales(spark, folder, ("status", "segment", "acctbal", "sum_qty", "n_lines"))
+    names = ("status", "segment", "acctbal", "sum_qty", "n_lines")
+    table = sales(spark, folder, names).materialized()
     table = numeric.log1p(missing.fillna_mean(table), "target")
     table = numeric.zscore(encode.one_hot_levels(table), ["acctbal", "sum_qty", "n_lines"])
     model = models.fit_linear(table, table.features, lasso(0.0005))
@@ -410,7 +411,8 @@ def worst_k(spark, folder):
 @query("worst_predicted")
 def worst_predicted(spark, folder):
     """Fill, one-hot, scale, lasso, score: the twenty worst predicted orders."""
-    table = sales(spark, folder, ("status", "segment", "acctbal", "sum_qty", "n_lines"))
+    names = ("status", "segment", "acctbal", "sum_qty", "n_lines")
+    table = sales(spark, folder, names).materialized()
     table = encode.one_hot_levels(missing.fillna_mean(table))
     table = numeric.zscore(table)
     scored = outliers.with_fit(table, table.features, lasso(0.001))
@@ -433,16 +435,24 @@ def studentized(spark, folder):
     return out.select("id", r4("t"))
 
 
+def heavy_tailed(spark, folder):
+    """The signal plus the inverse price, which is far out for the cheapest orders."""
+    table = sales(spark, folder, ("n_lines", "sum_qty"))
+    table = missing.fill_columns(table, {"n_lines": 0, "sum_qty": 0})
+    y = 2 * F.col("sum_qty") + 1_000_000 / F.col("target")
+    return table.with_columns({"target": y}).materialized()
+
+
 @query("drop_outliers")
 def drop_outliers(spark, folder):
     """Train rows left after removing those with a Bonferroni p-value below 0.001."""
-    out = outliers.drop_outliers(signal(spark, folder), ["sum_qty", "n_lines"], 1e-3)
+    out = outliers.drop_outliers(heavy_tailed(spark, folder), ["sum_qty", "n_lines"], 1e-3)
     return out.train.select("id", "target")
 
 
 @query("drop_outliers_intercept")
 def drop_outliers_intercept(spark, folder):
-    table = signal(spark, folder)
+    table = heavy_tailed(spark, folder)
     return outliers.drop_outliers(table, ["sum_qty"], 0.5, intercept=True).train.select("id")
 
 
@@ -477,8 +487,7 @@ def loo_influence_line(spark, folder):
 @query("greedy_outliers")
 def greedy_outliers(spark, folder):
     """Up to three rounds of taking out the train row that hurts the line most."""
-    table = signal(spark, folder)
-    table = table.with_df(materialize(table.df.select("id", "split", "target", "sum_qty")))
+    table = retain_columns(signal(spark, folder), ["sum_qty"]).materialized()
     _, history = outliers.greedy_removal(table, ["sum_qty"], split.hash_fold("id", 5), 3)
     return history
 
@@ -639,8 +648,7 @@ def knn_predict(spark, folder):
 
 
 def search_table(spark, folder):
-    table = signal(spark, folder)
-    return table.with_df(materialize(table.df))
+    return signal(spark, folder).materialized()
 
 
 def _valid_sql() -> str:

@@ -6,14 +6,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import long_form
 from plumbline.plans.quantiles import column_quantiles, group_quantiles
 from plumbline.plans.storage import SMALL_ROWS, lookup_join
 from plumbline.spec import CATEGORICAL, ColumnSpec, safe_name
-from plumbline.table import FeatureTable
+from plumbline.table import TRAIN, FeatureTable
 
 # more levels than this are joined as a table, not written into the plan
 LITERAL_LEVELS = 1_000
@@ -97,13 +97,16 @@ def label_encode(
     """
     columns = list(columns if columns is not None else table.categorical)
     codes = {c: ordinal_code(F.col(c), table.spec[c].categories) for c in columns}
-    if fail_on_unseen:
-        bad = table.df.agg(*[F.count_if(e.isNull()).alias(c) for c, e in codes.items()]).first()
-        wrong = {c: bad[c] for c in columns if bad[c]}
-        if wrong:
-            raise ValueError(f"values outside the declared levels: {wrong}")
-    spread = table.train.agg(*[(F.max(e) > F.min(e)).alias(c) for c, e in codes.items()]).first()
-    if not all(spread[c] for c in columns):
+    is_train = F.col(table.spec.split) == TRAIN
+    facts = table.df.agg(
+        *[F.count_if(e.isNull()).alias(f"bad_{c}") for c, e in codes.items()],
+        *[F.max(F.when(is_train, e)).alias(f"hi_{c}") for c, e in codes.items()],
+        *[F.min(F.when(is_train, e)).alias(f"lo_{c}") for c, e in codes.items()],
+    ).first()
+    wrong = {c: facts[f"bad_{c}"] for c in columns if facts[f"bad_{c}"]}
+    if wrong and fail_on_unseen:
+        raise ValueError(f"values outside the declared levels: {wrong}")
+    if any(facts[f"hi_{c}"] == facts[f"lo_{c}"] for c in columns):
         return None
     return table.with_numeric(codes)
 
@@ -192,6 +195,46 @@ def category_stats(
     return means.join(medians.select(*keys, F.col("q")[0].alias("median")), keys)
 
 
+def target_stats_all(
+    table: FeatureTable,
+    columns: Sequence[str] | None = None,
+    stat: str = "mean",
+    small: int = SMALL_ROWS,
+) -> FeatureTable:
+    """Replace several categorical columns by the mean or median target of each category.
+
+    All statistics come from one grouped pass.  Columns with many categories are joined.
+    """
+    columns = list(columns if columns is not None else table.categorical)
+    t = table.spec.target
+    if stat == "mean":
+        default = table.train.agg(F.avg(t)).first()[0]
+    else:
+        default = column_quantiles(table.train, {t: [0.5]}, small)[t][0]
+    stats = category_stats(table, columns, small)
+    limit = LITERAL_LEVELS * len(columns)
+    found = stats.limit(limit + 1).collect()
+    if len(found) <= limit:
+        new = {c: stat_lookup(found, c, stat, default) for c in columns}
+        return table.with_numeric(new)
+    out = table
+    for c in columns:
+        one = stats.where(F.col("column") == c).select(
+            F.col("value").alias(c), F.col(stat).alias("__stat")
+        )
+        out = _with_stats(out, c, one, default, keep=False)
+    return out
+
+
+def stat_lookup(stats: Sequence[Row], column: str, stat: str, default: float) -> Column:
+    """The category's statistic from collected (column, value, mean, median) rows."""
+    pairs = [x for r in stats if r["column"] == column for x in (r["value"], r[stat])]
+    if not pairs:
+        return F.lit(default)
+    value = F.try_element_at(F.create_map(*map(F.lit, pairs)), F.col(column))
+    return F.coalesce(value, F.lit(default))
+
+
 def target_moments(
     table: FeatureTable,
     column: str,

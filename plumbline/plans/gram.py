@@ -143,6 +143,12 @@ class Grams:
             merged[k] = merged.get(k, 0) + g
         return Grams(self.features, self.target, self.shift, merged)
 
+    def without_row(self, row: np.ndarray, fold: int) -> Grams:
+        """The statistics without one row (features, target) of a fold."""
+        v = np.concatenate([[1.0], row - self.shift])
+        folds = {**self.folds, fold: self.folds[fold] - np.outer(v, v)}
+        return Grams(self.features, self.target, self.shift, folds)
+
     def fit(self, recipe: Linear, without: int | None = None, warm=None) -> Model:
         raw = self.total if without is None else self.total - self.folds[without]
         if not recipe.intercept:

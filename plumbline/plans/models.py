@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import rmse
-from plumbline.plans.gram import Linear, Model, fold_grams, lasso, ridge
+from plumbline.plans.gram import Grams, Linear, Model, fold_grams, lasso, ridge
 from plumbline.plans.storage import materialize
 from plumbline.table import FeatureTable
 
@@ -68,7 +68,7 @@ def lasso_cv(
     rows = []
     for k in outer:
         rest = {b: b % inner_folds for b in grams.folds if b // inner_folds != k}
-        kept = type(grams)(
+        kept = Grams(
             grams.features, grams.target, grams.shift, {b: grams.folds[b] for b in rest}
         ).regroup(rest)
         alpha = min(alphas, key=lambda a: kept.cv_rmse(lasso(a)))
@@ -209,18 +209,25 @@ def cv_holdout_gap(
     """Per seed: cross-validated score on the kept rows, holdout score, and their gap."""
     from plumbline.operators.sampling import fraction, hash_fold
 
-    key, rows = table.spec.id, []
-    for s in seeds:
+    key, target = table.spec.id, table.spec.target
+    seeds, width = list(seeds), k + 1
+    # one copy of a row per seed, so that all seeds share one pass
+    parts = []
+    for i, s in enumerate(seeds):
         held = fraction(key, s) < holdout_share
-        fold = F.when(held, F.lit(-1)).otherwise(hash_fold(key, k, s + 1_000))
-        grams = fold_grams(table.train, features, table.spec.target, fold)
-        kept = type(grams)(
-            grams.features, grams.target, grams.shift,
-            {f: g for f, g in grams.folds.items() if f >= 0},
-        )
+        fold = F.when(held, F.lit(k)).otherwise(hash_fold(key, k, s + 1_000))
+        parts.append(fold + F.lit(i * width))
+    copies = table.train.select(*features, target, F.explode(F.array(*parts)).alias("__part"))
+    grams = fold_grams(copies, features, target, F.col("__part"))
+    rows = []
+    for i, s in enumerate(seeds):
+        mine = {p - i * width: g for p, g in grams.folds.items() if p // width == i}
+        out = mine.pop(k)
+        kept = Grams(grams.features, grams.target, grams.shift, mine)
+        held_out = Grams(grams.features, grams.target, grams.shift, {0: out})
         cv = kept.cv_rmse(recipe)
-        out = grams.rmse(kept.fit(recipe), -1)
-        rows.append((int(s), cv, out, abs(cv - out)))
+        score = held_out.rmse(kept.fit(recipe))
+        rows.append((int(s), cv, score, abs(cv - score)))
     return table.df.sparkSession.createDataFrame(
         rows, "seed int, cv_score double, holdout_score double, gap double"
     )

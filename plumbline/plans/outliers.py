@@ -97,9 +97,13 @@ def loo_influence(
     Each fold's fit loses a row by a rank-one update, so all rows are scored in one scan.  The
     mean is taken over folds; a large score means that the row helps the fit.
     """
+    grams = fold_grams(table.train, features, table.spec.target, fold)
+    return loo_from(table, grams, fold, ridge)
+
+
+def loo_from(table: FeatureTable, grams: Grams, fold, ridge: float = 0.0) -> DataFrame:
     key, target = table.spec.id, table.spec.target
-    features = list(features)
-    grams = fold_grams(table.train, features, target, fold)
+    features = list(grams.features)
     total, shift = grams.total, grams.shift
     d = len(features) + 1
     fits = {}
@@ -157,20 +161,23 @@ def greedy_removal(
     Every round scores the removal of each row in one scan.  Returns the ids and a
     (round, id, score) history that starts with the score of all rows.
     """
-    key = table.spec.id
+    key, names = table.spec.id, [*features, table.spec.target]
     grams = fold_grams(table.train, features, table.spec.target, fold)
     best = grams.cv_rmse(Linear())
     history: list[tuple] = [(0, None, best)]
     gone: list[int] = []
     cur = table
     for r in range(1, max_rounds + 1):
-        top = loo_influence(cur, features, fold).orderBy("score", key).first()
+        top = loo_from(cur, grams, fold).orderBy("score", key).first()
         if top is None or top["score"] >= best:
             break
         best = top["score"]
         gone.append(top[key])
         history.append((r, top[key], best))
         cur = drop_rows(table, gone)
+        row = table.train.where(F.col(key) == top[key])
+        row = row.select(*names, fold.alias("__fold")).first()
+        grams = grams.without_row(np.array([row[c] for c in names], dtype=float), row["__fold"])
     spark = table.df.sparkSession
     return gone, spark.createDataFrame(history, "round int, id bigint, score double")
 

@@ -242,10 +242,8 @@ def variant_columns(
         default_median = numeric.column_quantiles(table.train, {t: [0.5]}, small)[t][0]
         for kind, default in (("mean", default_mean), ("median", default_median)):
             for c in by.get(f"target_{kind}", []):
-                pairs = [x for r in stats if r["column"] == c for x in (r["value"], r[kind])]
-                value = F.try_element_at(F.create_map(*map(F.lit, pairs)), F.col(c))
                 v = Variant(c, f"target_{kind}")
-                out[v] = {v.name: F.coalesce(value, F.lit(default))}
+                out[v] = {v.name: encode.stat_lookup(stats, c, kind, default)}
     return {v: out[v] for v in variants if v in out}
 
 

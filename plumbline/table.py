@@ -80,6 +80,12 @@ class FeatureTable:
             self, df=self.df.withColumns(columns), spec=self.spec.with_numeric(columns)
         )
 
+    def materialized(self) -> FeatureTable:
+        """Write the table to shared storage once, for flows that pass over it several times."""
+        from plumbline.plans.storage import materialize
+
+        return self.with_df(materialize(self.df))
+
     def pipe(self, fn: Callable, *args, **kwargs):
         return fn(self, *args, **kwargs)
 
