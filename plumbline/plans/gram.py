@@ -46,6 +46,30 @@ class Moments:
         mean = raw[0, 1:] / n if n else raw[0, 1:]
         return cls(n, mean, raw[1:, 1:] - n * np.outer(mean, mean))
 
+    @classmethod
+    def of_rows(cls, x: np.ndarray) -> Moments:
+        mean = x.mean(axis=0)
+        centred = x - mean
+        return cls(float(len(x)), mean, centred.T @ centred)
+
+    def plus(self, other: Moments) -> Moments:
+        """The moments of both row sets together."""
+        n = self.n + other.n
+        if not n:
+            return self
+        gap = other.mean - self.mean
+        cross = self.cross + other.cross + np.outer(gap, gap) * (self.n * other.n / n)
+        return Moments(n, self.mean + gap * (other.n / n), cross)
+
+    def about(self, point: np.ndarray) -> np.ndarray:
+        """Cross products of (1, columns - point)."""
+        d = len(self.mean) + 1
+        raw, gap = np.zeros((d, d)), self.mean - point
+        raw[0, 0] = self.n
+        raw[0, 1:] = raw[1:, 0] = self.n * gap
+        raw[1:, 1:] = self.cross + self.n * np.outer(gap, gap)
+        return raw
+
 
 @dataclass(frozen=True)
 class Linear:
@@ -196,8 +220,8 @@ class Grams:
         return np.sqrt(np.maximum(np.diag(m.cross)[:-1] / max(m.n, 1.0), 0.0))
 
 
-# widest table whose cross products are summed by JVM aggregates
-JVM_WIDTH = 12
+# widest set of columns whose covariances are taken by JVM aggregates
+JVM_WIDTH = 6
 # tasks that merge the partial results; the driver receives one row per such task and fold
 MERGE_TASKS = 32
 
@@ -205,11 +229,11 @@ MERGE_TASKS = 32
 def fold_grams(
     df: DataFrame, features: Sequence[str], target: str, fold: Column | None = None
 ) -> Grams:
-    """Cross products per fold in one pass, after one aggregate for the shift.
+    """Cross products per fold, in one pass.
 
-    Rows with a null among features and target are left out.  Narrow tables use plain
-    aggregates; wide ones are multiplied block by block with NumPy, one partial result per task
-    and fold, which are then summed cell by cell.
+    Rows with a null among features and target are left out.  A few columns use covariance
+    aggregates; more are multiplied block by block with NumPy, where every task centres its
+    rows on their own mean, so that large means cost no digits.
     """
     features = list(features)
     names = [*features, target]
@@ -217,66 +241,89 @@ def fold_grams(
         *[F.col(c).cast("double").alias(c) for c in names],
         (fold if fold is not None else F.lit(0)).cast("int").alias("__fold"),
     )
-    means = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
-    shift = np.array([0.0 if means[c] is None or np.isnan(means[c]) else means[c] for c in names])
-    d = len(names) + 1
-    upper = [(i, j) for i in range(d) for j in range(i, d)]
     if len(names) <= JVM_WIDTH:
-        z = [F.lit(1.0), *[F.col(c) - F.lit(float(s)) for c, s in zip(names, shift)]]
-        cells = [F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i, j in upper]
-        found = rows.dropna(subset=names).groupBy("__fold").agg(*cells).collect()
-        packed = {r["__fold"]: [r[f"g{i}_{j}"] for i, j in upper] for r in found}
+        parts = _covariances(rows, names)
     else:
-        packed = _partial_products(rows, names, shift)
-    folds = {}
-    for k, cells in packed.items():
-        g = np.zeros((d, d))
-        for (i, j), v in zip(upper, cells):
-            g[i, j] = g[j, i] = v
-        folds[int(k)] = g
-    return Grams(tuple(features), target, shift, folds)
-
-
-def _partial_products(rows: DataFrame, names: list[str], shift: np.ndarray) -> dict:
-    d = len(names) + 1
+        parts = _block_moments(rows, names)
+    whole = Moments(0.0, np.zeros(len(names)), np.zeros((len(names), len(names))))
+    for m in parts.values():
+        whole = whole.plus(m)
+    folds = {k: m.about(whole.mean) for k, m in parts.items()}
+    return Grams(tuple(features), target, whole.mean, folds)
+
+
+def _covariances(rows: DataFrame, names: list[str]) -> dict[int, Moments]:
+    d = len(names)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    found = (
+        rows.dropna(subset=names)
+        .groupBy("__fold")
+        .agg(
+            F.count("*").alias("n"),
+            F.array(*[F.avg(c) for c in names]).alias("mean"),
+            F.array(*[F.covar_pop(names[i], names[j]) for i, j in pairs]).alias("cov"),
+        )
+        .collect()
+    )
+    out = {}
+    for r in found:
+        cross = np.zeros((d, d))
+        for (i, j), v in zip(pairs, r["cov"]):
+            cross[i, j] = cross[j, i] = v * r["n"]
+        out[r["__fold"]] = Moments(float(r["n"]), np.array(r["mean"]), cross)
+    return out
+
+
+def _block_moments(rows: DataFrame, names: list[str]) -> dict[int, Moments]:
+    d = len(names)
     at = np.triu_indices(d)
+    schema = "fold int, n double, mean array<double>, cross array<double>"
 
-    def scan(batches: Iterator):
+    def pack(moments: dict[int, Moments]):
         import pandas as pd
 
-        sums: dict[int, np.ndarray] = {}
+        return pd.DataFrame(
+            {
+                "fold": list(moments),
+                "n": [m.n for m in moments.values()],
+                "mean": [m.mean.tolist() for m in moments.values()],
+                "cross": [m.cross[at].tolist() for m in moments.values()],
+            }
+        )
+
+    def unpack(r) -> Moments:
+        cross = np.zeros((d, d))
+        cross[at] = r.cross
+        cross = cross + np.triu(cross, 1).T
+        return Moments(r.n, np.asarray(r.mean, dtype=float), cross)
+
+    def scan(batches: Iterator):
+        sums: dict[int, Moments] = {}
         for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float) - shift
+            x = pdf[names].to_numpy(dtype=float)
             # incomplete rows are dropped here: as a filter, the test for nulls would repeat the
             # expression behind every column
             whole = np.isfinite(x).all(axis=1)
             x, fold = x[whole], pdf["__fold"].to_numpy()[whole]
-            x = np.column_stack([np.ones(len(x)), x])
             for k in np.unique(fold):
-                part = x[fold == k]
-                sums[int(k)] = sums.get(int(k), 0) + part.T @ part
+                part = Moments.of_rows(x[fold == k])
+                sums[int(k)] = sums[int(k)].plus(part) if int(k) in sums else part
         if sums:
-            yield pd.DataFrame(
-                {"fold": list(sums), "cells": [g[at].tolist() for g in sums.values()]}
-            )
-
-    partial = rows.mapInPandas(scan, "fold int, cells array<double>")
+            yield pack(sums)
 
     def merge(batches: Iterator):
-        import pandas as pd
-
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, Moments] = {}
         for pdf in batches:
-            for k, cells in zip(pdf["fold"], pdf["cells"]):
-                sums[int(k)] = sums.get(int(k), 0) + np.asarray(cells)
+            for r in pdf.itertuples():
+                m = unpack(r)
+                sums[r.fold] = sums[r.fold].plus(m) if r.fold in sums else m
         if sums:
-            yield pd.DataFrame(
-                {"fold": list(sums), "cells": [v.tolist() for v in sums.values()]}
-            )
+            yield pack(sums)
 
     # partials of one fold are spread over the merging tasks, each of which keeps one running sum
-    merged = partial.repartition(MERGE_TASKS).mapInPandas(merge, "fold int, cells array<double>")
-    out: dict[int, np.ndarray] = {}
+    merged = rows.mapInPandas(scan, schema).repartition(MERGE_TASKS).mapInPandas(merge, schema)
+    out: dict[int, Moments] = {}
     for r in merged.collect():
-        out[r["fold"]] = out.get(r["fold"], 0) + np.asarray(r["cells"])
+        m = unpack(r)
+        out[r["fold"]] = out[r["fold"]].plus(m) if r["fold"] in out else m
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # rows up to which a side may be broadcast, or a group may be handled by one task
-SMALL_ROWS = 250_000
+SMALL_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 
 
