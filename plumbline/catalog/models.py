@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.features import mix_sql
 from plumbline.catalog.registry import on_sales, query
-from plumbline.catalog.tables import r4, union_all
+from plumbline.catalog.tables import r4, rare_numbers_sql, union_all
 from plumbline.operators import encode, joins, metrics, missing, numeric
 from plumbline.operators import quality as qual
 from plumbline.operators import sampling as split
@@ -131,6 +131,38 @@ def elasticnet_fit(spark, folder):
     return _coefs(spark, models.fit_linear(table, table.features, elastic_net(0.0005, 0.9)))
 
 
+@query(
+    "penalised_lines",
+    on_signal(
+        """SELECT unnest(['lasso', 'elastic_net', 'ridge']) AS model,
+        round(unnest([greatest(c - 5, 0), greatest(c - 2, 0) / 3, c / 1.5]), 6) AS coef
+        FROM (SELECT covar_pop(sum_qty, target) / stddev_pop(sum_qty) AS c FROM tr)"""
+    ),
+)
+def penalised_lines(spark, folder):
+    """Slope on one scaled feature: soft-thresholded, shrunk, or both."""
+    table = numeric.zscore(signal(spark, folder).materialized(), ["sum_qty"])
+    grams = fold_grams(table.train, ["sum_qty"], "target")
+    recipes = {"lasso": lasso(5.0), "elastic_net": elastic_net(4.0, 0.5), "ridge": ridge(0.5)}
+    rows = [(name, grams.fit(r).coefs[0]) for name, r in recipes.items()]
+    out = spark.createDataFrame(rows, "model string, coef double")
+    return out.select("model", F.round("coef", 6).alias("coef"))
+
+
+@query(
+    "robust_line",
+    on_signal(
+        "SELECT id, round(a + b * sum_qty, 4) AS predicted FROM sig, line WHERE split = 'test'",
+        LINE,
+    ),
+)
+def robust_line(spark, folder):
+    """Scale by median and quartiles, fit, predict: scaling does not change the line."""
+    table = numeric.robust_scale(signal(spark, folder).materialized(), ["sum_qty"])
+    model = models.fit_linear(table, ["sum_qty"], ols())
+    return table.test.select("id", r4(model.predict(), "predicted"))
+
+
 @query("lasso_cv")
 def lasso_cv(spark, folder):
     table = encoded_signal(spark, folder)
@@ -477,11 +509,33 @@ def loo_influence(spark, folder):
     return out.select("id", r4("score"))
 
 
-@query("loo_influence_line")
+@query(
+    "loo_influence_line",
+    on_signal(
+        """SELECT id, round(avg(sqrt(greatest(kyy - 2 * a * ky - 2 * b * kxy + kn * a * a
+            + 2 * a * b * kx + b * b * kxx, 0) / kn)), 4) AS score
+        FROM (SELECT *, ty / tn - b * tx / tn AS a FROM (
+          SELECT *, (txy - tx * ty / tn) / (txx - tx * tx / tn) AS b FROM (
+            SELECT id, n - o * 1 AS kn, sx - o * x AS kx, sy - o * y AS ky,
+              sxx - o * x * x AS kxx, sxy - o * x * y AS kxy, syy - o * y * y AS kyy,
+              an - n - (1 - o) AS tn, ax - sx - (1 - o) * x AS tx, ay - sy - (1 - o) * y AS ty,
+              axx - sxx - (1 - o) * x * x AS txx, axy - sxy - (1 - o) * x * y AS txy
+            FROM (SELECT id, CAST(fold = k AS INT) AS o, sum_qty - mx AS x, target - my AS y, g.*,
+                all_.* FROM f, g, all_, mid))))
+        GROUP BY id""",
+        FOLDED,
+        "mid AS (SELECT avg(sum_qty) AS mx, avg(target) AS my FROM f)",
+        """g AS (SELECT fold AS k, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx,
+          sum(x * y) AS sxy, sum(y * y) AS syy
+          FROM (SELECT fold, sum_qty - mx AS x, target - my AS y FROM f, mid) GROUP BY fold)""",
+        """all_ AS (SELECT sum(n) AS an, sum(sx) AS ax, sum(sy) AS ay, sum(sxx) AS axx,
+          sum(sxy) AS axy FROM g)""",
+    ),
+)
 def loo_influence_line(spark, folder):
-    return outliers.loo_influence(
-        signal(spark, folder), ["sum_qty", "acctbal"], split.hash_fold("id", 5)
-    )
+    """Cross-validated score of the line with each train row left out in turn."""
+    out = outliers.loo_influence(signal(spark, folder), ["sum_qty"], split.hash_fold("id", 5))
+    return out.select("id", r4("score"))
 
 
 @query("greedy_outliers")
@@ -552,11 +606,36 @@ def error_feature_refit(spark, folder):
     return again.agg(F.round(metrics.rmse("predicted", "target"), 4).alias("score"))
 
 
-@query("outlier_report")
+REPORTED = ("n_lines", "sum_qty", "acctbal", "yr_sold", "mo_sold")
+
+
+@query(
+    "outlier_report",
+    on_signal(
+        """SELECT w.id, round(w.target, 4) AS actual, round(w.predicted, 4) AS predicted,
+        round(w.score, 4) AS score, column_name, value, kind, pct, n
+        FROM (SELECT * FROM sc ORDER BY sc.score DESC, id LIMIT 20) w
+        LEFT JOIN rare ON w.id = rare.id""",
+        LINE,
+        SCORED,
+        f"rare AS ({rare_numbers_sql(REPORTED, 'tr')})",
+    ),
+)
 def outlier_report(spark, folder):
-    """The twenty worst predicted rows with their rare cells."""
+    """The twenty worst predicted rows with their rare numbers."""
     table = signal(spark, folder)
-    return outliers.outlier_report(table, line_scores(table), 20)
+    out = outliers.outlier_report(retain_columns(table, REPORTED), line_scores(table), 20)
+    return out.select(
+        "id",
+        r4("actual"),
+        r4("predicted"),
+        r4("score"),
+        F.col("column").alias("column_name"),
+        F.col("value").cast("double").alias("value"),
+        "kind",
+        "pct",
+        "n",
+    )
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import on_sales, on_time_split_sales, query
@@ -9,6 +12,7 @@ from plumbline.operators import columns as cols
 from plumbline.operators import quality as qual
 from plumbline.operators.encode import map_values
 from plumbline.operators.joins import complete_range
+from plumbline.plans.storage import checkpoint_dir
 from plumbline.sources import io
 from plumbline.sources.tables import SALES_COLUMNS, read, sales, time_split
 from plumbline.table import FeatureTable
@@ -341,28 +345,34 @@ def mode_count(spark, folder):
 RARE_NUMBERS = ("acctbal", "n_lines", "sum_qty")
 
 
+def rare_numbers_sql(columns, train: str) -> str:
+    """Rare and extreme numbers of the rows of a subquery."""
+    return union_all(
+        f"""SELECT id, '{c}' AS column_name, CAST({c} AS DOUBLE) AS value, kind,
+        CAST(n * 100 // total AS BIGINT) AS pct, n FROM (
+          SELECT id, {c}, total, same, unnest(['top', 'bottom']) AS kind,
+            unnest([above, below]) AS n FROM (
+            SELECT id, {c}, (SELECT count(*) FROM {train}) AS total,
+              count(*) OVER (PARTITION BY {c}) AS same,
+              count(*) OVER (ORDER BY {c} DESC) AS above,
+              count(*) OVER (ORDER BY {c}) AS below
+            FROM {train} WHERE {c} IS NOT NULL))
+        WHERE same * 100 // total <= 5 AND n * 100 // total <= 5"""
+        for c in columns
+    )
+
+
 @query(
     "row_rarity",
     on_sales(
-        union_all(
-            f"""SELECT id, '{c}' AS column_name, CAST({c} AS DOUBLE) AS value, kind,
-            CAST(n * 100 // total AS BIGINT) AS pct, n FROM (
-              SELECT id, {c}, total, same, unnest(['top', 'bottom']) AS kind,
-                unnest([above, below]) AS n FROM (
-                SELECT id, {c}, (SELECT count(*) FROM sales WHERE split = 'train') AS total,
-                  count(*) OVER (PARTITION BY {c}) AS same,
-                  count(*) OVER (ORDER BY {c} DESC) AS above,
-                  count(*) OVER (ORDER BY {c}) AS below
-                FROM sales WHERE split = 'train' AND {c} IS NOT NULL))
-            WHERE same * 100 // total <= 5 AND n * 100 // total <= 5"""
-            for c in RARE_NUMBERS
-        )
-        + "\nUNION ALL\n"
-        + """SELECT id, 'nation', CAST(substr(nation, 8) AS DOUBLE), 'matches',
+        rare_numbers_sql(RARE_NUMBERS, "tr")
+        + """ UNION ALL
+            SELECT id, 'nation', CAST(substr(nation, 8) AS DOUBLE), 'matches',
             CAST(n * 100 // total AS BIGINT), n FROM (
               SELECT id, nation, count(*) OVER (PARTITION BY nation) AS n,
-                count(*) OVER () AS total FROM sales WHERE split = 'train')
-            WHERE n * 100 // total <= 5"""
+                count(*) OVER () AS total FROM tr)
+            WHERE n * 100 // total <= 5""",
+        "tr AS (SELECT * FROM sales WHERE split = 'train')",
     ),
 )
 def row_rarity(spark, folder):
@@ -456,3 +466,23 @@ def manifest(spark, folder):
     """Column manifest whose types come from the computed profile."""
     table = sales(spark, folder)
     return io.manifest(table, qual.profile(table.df, ("id", "target", *SALES_COLUMNS)))
+
+
+@query(
+    "save_roundtrip",
+    on_sales(
+        """SELECT id, CASE WHEN split = 'train' THEN target END AS target, status, acctbal, flag,
+        CASE WHEN split = 'train' THEN round(abs(target - acctbal), 4) END AS score, split
+        FROM sales"""
+    ),
+)
+def save_roundtrip(spark, folder):
+    """Write both splits with row scores and the schema, and read them back."""
+    table = sales(spark, folder, ("status", "acctbal", "flag"))
+    gap = F.abs(F.col("target") - F.col("acctbal"))
+    scores = table.train.select("split", "id", F.round(gap, 4).alias("score"))
+    path = os.path.join(checkpoint_dir(spark), f"saved-{uuid.uuid4().hex}")
+    io.save(table, path, scores, fmt="parquet")
+    return io.load_saved(spark, path).df.select(
+        "id", "target", "status", "acctbal", "flag", "score", "split"
+    )

@@ -306,3 +306,15 @@ def row_rarity(
     for more in reports[1:]:
         out = out.unionByName(more)
     return out
+
+
+def rarity_lines(report: DataFrame) -> DataFrame:
+    """The rarity report with a ``line`` of text per cell."""
+    place = F.when(F.col("kind") == "matches", F.lit("matches")).otherwise(
+        F.concat(F.lit("is in the "), F.col("kind"))
+    )
+    line = F.format_string(
+        "Column %s = %s %s %d %% of the train set ( %d )",
+        F.col("column"), F.col("value"), place, F.col("pct"), F.col("n"),
+    )
+    return report.withColumn("line", line)

@@ -203,3 +203,11 @@ def test_value_hits_and_nan(pair):
 
 def test_add_constant_target(pair):
     assert set(by_id(cols.add_constant_target(pair), "kids", "test").values()) == {0.0}
+
+
+def test_rarity_lines(pair):
+    report = quality.row_rarity(pair, max_categorical_pct=40, max_numeric_pct=20)
+    lines = {(r["id"], r["kind"]): r["line"] for r in quality.rarity_lines(report).collect()}
+    assert lines[1, "top"] == "Column age = 36.0 is in the top 20 % of the train set ( 1 )"
+    assert lines[0, "bottom"] == "Column age = 12.0 is in the bottom 20 % of the train set ( 1 )"
+    assert lines[4, "matches"] == "Column sex = F matches 40 % of the train set ( 2 )"
