@@ -72,15 +72,16 @@ def retain_columns(spark, folder):
     "constant_columns",
     on_sales(
         union_all(
-            f"""SELECT '{c}' AS column_name, CASE WHEN count(DISTINCT {c}) <= 1
-            AND (count({c}) = 0 OR count({c}) = count(*)) THEN 1 ELSE 0 END AS is_constant
-            FROM sales WHERE split = 'train'"""
-            for c in SALES_COLUMNS
+            f"""SELECT '{c}' AS column_name, CASE WHEN count(DISTINCT {c}) = 1
+            AND count({c}) = count(*) THEN 1 ELSE 0 END AS is_constant
+            FROM (SELECT *, nation IS NULL AS placed FROM sales) WHERE split = 'train'"""
+            for c in (*SALES_COLUMNS, "placed")
         )
     ),
 )
 def constant_columns(spark, folder):
-    out = cols.constant_columns(sales(spark, folder))
+    table = sales(spark, folder).with_numeric({"placed": F.col("nation").isNull().cast("int")})
+    out = cols.constant_columns(table)
     return out.withColumnRenamed("column", "column_name")
 
 

@@ -65,12 +65,11 @@ def add_constant_target(table: FeatureTable, value: float = 0.0) -> FeatureTable
 
 
 def constant_columns(table: FeatureTable) -> DataFrame:
-    """(column, is_constant) over the train rows; a null next to a value counts as a change."""
+    """(column, is_constant) over the train rows; a column with a null is never constant."""
     aggs = []
     for c in table.features:
-        spread = F.coalesce(F.min(c) < F.max(c), F.lit(False))
-        mixed = (F.count(c) > 0) & (F.count(c) < F.count("*"))
-        aggs.append((~spread & ~mixed).cast("int").alias(c))
+        same = F.coalesce(F.min(c) == F.max(c), F.lit(False))
+        aggs.append((same & (F.count(c) == F.count("*"))).cast("int").alias(c))
     return unpivot_row(table.train.agg(*aggs), "column", "is_constant")
 
 

@@ -32,7 +32,10 @@ def running_sums(
     if at_most(df, small):
         return df.withColumns({n: F.sum(v).over(frame) for n, v in sums.items()})
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    parts = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     tagged = df.withColumns({f"__v_{n}": v for n, v in sums.items()})
     tagged = tagged.repartitionByRange(parts, *groups, *order)
     # the written table freezes the partition number of each row for both uses below

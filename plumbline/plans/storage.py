@@ -40,7 +40,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether a frame has no more rows than that; a long one is not read to its end."""
-    return df.offset(rows).isEmpty()
+    return df.select().offset(rows).isEmpty()
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
