@@ -9,6 +9,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 DATA = os.environ.get("PLUMBLINE_TEST_DATA", "/root/testdata/sf0.001")
 
 
+def plan(df) -> str:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (

@@ -1,11 +1,10 @@
-"""Physical plans: pruned scans, pushed filters, and no join without keys."""
+"""Physical plans: pruned scans, pushed filters, and fits that apply without a shuffle."""
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as e
+from conftest import plan
 from plumbline.operators import columns as cols
 from plumbline.operators import numeric
 from plumbline.plans.house import clean_house
@@ -13,22 +12,10 @@ from plumbline.sources.house import house
 from plumbline.sources.tables import sales
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
-
-
 def read_schemas(text):
     return re.findall(r"ReadSchema: struct<(.*)>", text)
 
 
-@pytest.mark.parametrize("name", sorted(e.queries()))
-def test_no_join_without_keys(spark, folder, name):
-    text = plan(e.queries()[name](spark, folder))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_unused_tables_are_not_read(spark, folder):
     text = plan(sales(spark, folder, ("status",)).df.select("id", "status"))
     assert read_schemas(text) == ["o_orderkey:bigint,o_orderstatus:string"]
