@@ -163,8 +163,52 @@ def robust_line(spark, folder):
     return table.test.select("id", r4(model.predict(), "predicted"))
 
 
-@query("lasso_cv")
+SCALED = """z AS (SELECT id, (sum_qty - m) / s AS x, target AS y FROM tr,
+  (SELECT avg(sum_qty) AS m, stddev_pop(sum_qty) AS s FROM tr))"""
+
+
+def scaled_quantity(spark, folder):
+    return numeric.zscore(retain_columns(signal(spark, folder), ["sum_qty"]).materialized())
+
+
+@query(
+    "lasso_cv",
+    on_signal(
+        """SELECT CAST(o AS INT) AS fold, alpha, round(sqrt(avg(pow(y - my - w * (x - mx), 2))), 4)
+          AS score
+        FROM b JOIN (SELECT o, alpha, mx, my,
+            sign(c) * greatest(abs(c) - alpha, 0) / v AS w
+          FROM (SELECT o, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v
+            FROM b, folds WHERE fold <> o GROUP BY o) JOIN best USING (o)) ON fold = o
+        GROUP BY o, alpha""",
+        SCALED,
+        f"""b AS (SELECT x, y, {mix_sql('id')} % 5 AS fold, {mix_sql('id', 7_919)} % 3 AS inn
+          FROM z)""",
+        "folds AS (SELECT unnest(range(5)) AS o)",
+        "inners AS (SELECT unnest(range(3)) AS j)",
+        "alphas AS (SELECT unnest([0.01, 1.0, 20.0, 100.0]::DOUBLE[]) AS alpha)",
+        """fits AS (SELECT o, j, alpha, mx, my, sign(c) * greatest(abs(c) - alpha, 0) / v AS w
+          FROM alphas, (SELECT o, j, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c,
+            var_pop(x) AS v FROM b, folds, inners WHERE fold <> o AND inn <> j GROUP BY o, j))""",
+        """best AS (SELECT o, arg_min(alpha, s) AS alpha FROM (
+          SELECT o, alpha, avg(s) AS s FROM (
+            SELECT o, j, alpha, sqrt(avg(pow(y - my - w * (x - mx), 2))) AS s
+            FROM b, fits WHERE fold <> o AND inn = j GROUP BY o, j, alpha) GROUP BY o, alpha)
+          GROUP BY o)""",
+    ),
+)
 def lasso_cv(spark, folder):
+    """Alpha chosen inside each outer fold, and the score of that choice on the fold."""
+    table = scaled_quantity(spark, folder)
+    chosen, _ = models.lasso_cv(
+        table, ["sum_qty"], [0.01, 1.0, 20.0, 100.0], split.hash_fold("id", 5)
+    )
+    return chosen.select("fold", "alpha", r4("score"))
+
+
+@query("lasso_path")
+def lasso_path(spark, folder):
+    """The same choice with all features."""
     table = encoded_signal(spark, folder)
     alphas = [10.0**e for e in range(-4, 1)]
     chosen, _ = models.lasso_cv(table, table.features, alphas, split.hash_fold("id", 5))
@@ -279,16 +323,35 @@ def cv_holdout_gap(spark, folder):
     return out.select("seed", r4("cv_score"), r4("holdout_score"), r4("gap"))
 
 
-@query("model_comparison")
+RECIPES = {"ols": ols(), "ridge": ridge(0.5), "lasso": lasso(5.0), "elastic_net": elastic_net(4.0, 0.5)}
+
+
+@query(
+    "model_comparison",
+    on_signal(
+        """SELECT model, round(avg(s), 4) AS cv_rmse FROM (
+          SELECT k, model, sqrt(avg(pow(y - my - w * (x - mx), 2))) AS s FROM b JOIN (
+            SELECT k, mx, my, unnest(['ols', 'ridge', 'lasso', 'elastic_net']) AS model,
+              unnest([c / v, c / (v + 0.5), greatest(c - 5, 0) / v, greatest(c - 2, 0) / (v + 2)])
+              AS w
+            FROM (SELECT k, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v
+              FROM b, (SELECT unnest(range(5)) AS k) WHERE fold <> k GROUP BY k)) ON fold = k
+          GROUP BY k, model) GROUP BY model""",
+        SCALED,
+        f"b AS (SELECT x, y, {mix_sql('id')} % 5 AS fold FROM z)",
+    ),
+)
 def model_comparison(spark, folder):
+    """Cross-validated scores of four linear models on one scaled feature, from one pass."""
+    table = scaled_quantity(spark, folder)
+    out = models.compare_models(table, ["sum_qty"], RECIPES, split.hash_fold("id", 5))
+    return out.select("model", r4("cv_rmse"))
+
+
+@query("model_comparison_wide")
+def model_comparison_wide(spark, folder):
     table = encoded_signal(spark, folder)
-    recipes = {
-        "ols": ols(),
-        "ridge": ridge(0.1),
-        "lasso": lasso(0.0005),
-        "elastic_net": elastic_net(0.0005, 0.9),
-    }
-    return models.compare_models(table, table.features, recipes, split.hash_fold("id", 5))
+    return models.compare_models(table, table.features, RECIPES, split.hash_fold("id", 5))
 
 
 @query("binned_regression")
@@ -400,9 +463,28 @@ def weight_sweep(spark, folder):
     return out.select("id", "weight_set", r4("blend", "predicted"))
 
 
-@query("submission")
+@query(
+    "submission",
+    on_sales(
+        """SELECT id AS "Id", round(exp(m) - 1, 4) AS "SalePrice" FROM sales JOIN (
+          SELECT nation, avg(ln(1 + target)) AS m FROM sales WHERE split = 'train'
+          GROUP BY nation) USING (nation) WHERE split = 'test'"""
+    ),
+)
 def submission(spark, folder):
-    """Fit on the log target, predict test rows, and go back to target units."""
+    """Fit on the log target, predict test rows, and go back to target units.
+
+    The fit on one-hot columns of one category is its mean, which the SQL computes directly.
+    """
+    table = numeric.log1p(sales(spark, folder, ("nation",)).materialized(), "target")
+    table = encode.one_hot_levels(table)
+    model = models.fit_linear(table, table.features, ols())
+    return io.submission(table, model.predict()).select("Id", r4("SalePrice"))
+
+
+@query("submission_lasso")
+def submission_lasso(spark, folder):
+    """The same with filled, scaled and penalised features."""
     names = ("status", "segment", "acctbal", "sum_qty", "n_lines")
     table = sales(spark, folder, names).materialized()
     table = numeric.log1p(missing.fillna_mean(table), "target")

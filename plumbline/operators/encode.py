@@ -290,7 +290,8 @@ def map_values(
         code = F.try_element_at(pairs, F.col(c))
         if strict:
             text = F.concat(F.lit(f"unmapped value in {c}: "), F.col(c).cast("string"))
-            failed = F.raise_error(text).cast("double")
+            whole = all(isinstance(v, int) for v in mapping.values())
+            failed = F.raise_error(text).cast("int" if whole else "double")
             code = F.when(F.col(c).isNotNull() & code.isNull(), failed).otherwise(code)
         out[c] = code
     return table.with_numeric(out)

@@ -35,7 +35,7 @@ def nearest_neighbors(
     k: int = 5,
     weights: Sequence[float] | None = None,
     exclude_self: bool = True,
-    block_rows: int = 2_000,
+    block_rows: int = 10_000,
 ) -> DataFrame:
     """(probe_id, rank, neighbor_id, distance) of the k nearest train rows of each probe.
 
