@@ -173,13 +173,17 @@ def target_mean(
 
 
 def target_median(
-    table: FeatureTable, column: str, keep: bool = False, small: int = SMALL_ROWS
+    table: FeatureTable,
+    column: str,
+    keep: bool = False,
+    small: int = SMALL_ROWS,
+    approx: bool = False,
 ) -> FeatureTable:
-    """Exact train median per category."""
+    """Train median per category, exact unless told otherwise."""
     t = table.spec.target
-    medians = group_quantiles(table.train, [column], t, [0.5], small)
+    medians = group_quantiles(table.train, [column], t, [0.5], small, approx)
     stats = medians.select(column, F.col("q")[0].alias("__stat"))
-    default = column_quantiles(table.train, {t: [0.5]}, small)[t][0]
+    default = column_quantiles(table.train, {t: [0.5]}, small, approx=approx)[t][0]
     return _with_stats(table, column, stats, default, keep)
 
 

@@ -58,11 +58,15 @@ def zscore(table: FeatureTable, columns: Sequence[str] | None = None) -> Feature
 
 
 def robust_scale(
-    table: FeatureTable, columns: Sequence[str] | None = None, small: int = SMALL_ROWS
+    table: FeatureTable,
+    columns: Sequence[str] | None = None,
+    small: int = SMALL_ROWS,
+    approx: bool = False,
 ) -> FeatureTable:
     """(x - median) / (upper quartile - lower quartile)."""
     columns = list(columns or table.numeric)
-    q = column_quantiles(table.train, {c: (0.25, 0.5, 0.75) for c in columns}, small)
+    quarters = {c: (0.25, 0.5, 0.75) for c in columns}
+    q = column_quantiles(table.train, quarters, small, approx=approx)
     fitted = {c: Affine(v[1], (v[2] - v[0]) or 1.0) for c, v in q.items() if v}
     return table.with_columns({c: a.apply(F.col(c)) for c, a in fitted.items()})
 
@@ -102,10 +106,11 @@ def quantile_uniform(
     columns: Sequence[str] | None = None,
     n_landmarks: int = 10,
     small: int = SMALL_ROWS,
+    approx: bool = False,
 ) -> FeatureTable:
     columns = list(columns or table.numeric)
     probs = [i / (n_landmarks - 1) for i in range(n_landmarks)]
-    marks = column_quantiles(table.train, {c: probs for c in columns}, small)
+    marks = column_quantiles(table.train, {c: probs for c in columns}, small, approx=approx)
     return table.with_columns(
         {c: landmark_position(F.col(c), m) for c, m in marks.items() if m}
     )
@@ -115,7 +120,10 @@ def quantile_uniform(
 
 
 def fit_bin_edges(
-    table: FeatureTable, bins: Iterable[tuple[str, int]], small: int = SMALL_ROWS
+    table: FeatureTable,
+    bins: Iterable[tuple[str, int]],
+    small: int = SMALL_ROWS,
+    approx: bool = False,
 ) -> dict[tuple[str, int], list[float] | None]:
     """Inner quantile edges per (column, bin count), all from one quantile fit.
 
@@ -126,7 +134,7 @@ def fit_bin_edges(
     for c, n in wanted:
         probs.setdefault(c, []).extend(i / n for i in range(n + 1))
     probs = {c: sorted(set(p)) for c, p in probs.items()}
-    found = column_quantiles(table.train, probs, small)
+    found = column_quantiles(table.train, probs, small, approx=approx)
     out: dict[tuple[str, int], list[float] | None] = {}
     for c, n in wanted:
         at = dict(zip(probs[c], found[c]))
@@ -148,13 +156,13 @@ def bin_id(x: Column, edges: Sequence[float]) -> Column:
 
 
 def quantile_bins(
-    table: FeatureTable, bins: dict[str, int], small: int = SMALL_ROWS
+    table: FeatureTable, bins: dict[str, int], small: int = SMALL_ROWS, approx: bool = False
 ) -> FeatureTable | None:
     """Replace numeric columns by their bin number as a level; None if a column has too few bins.
 
     The outer bins are open, so any scored value falls into the level that train rows use.
     """
-    edges = fit_bin_edges(table, bins.items(), small)
+    edges = fit_bin_edges(table, bins.items(), small, approx)
     if any(e is None for e in edges.values()):
         return None
     spec = table.spec
@@ -176,10 +184,10 @@ def bin_flags(x: Column, edges: Sequence[float]) -> list[Column]:
 
 
 def quantile_bin_one_hot(
-    table: FeatureTable, bins: dict[str, int], small: int = SMALL_ROWS
+    table: FeatureTable, bins: dict[str, int], small: int = SMALL_ROWS, approx: bool = False
 ) -> FeatureTable | None:
     """Replace numeric columns by 0/1 columns of their bins; None if a column has too few bins."""
-    edges = fit_bin_edges(table, bins.items(), small)
+    edges = fit_bin_edges(table, bins.items(), small, approx)
     if any(e is None for e in edges.values()):
         return None
     flags = {

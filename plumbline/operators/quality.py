@@ -217,16 +217,32 @@ def cell_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def profile(df: DataFrame, columns: Sequence[str], binary: bool = True) -> DataFrame:
-    """(column, n_distinct, has_null, type) of each column."""
+def profile(
+    df: DataFrame, columns: Sequence[str], binary: bool = True, approx: bool = False
+) -> DataFrame:
+    """(column, n_distinct, has_null, type) of each column.
+
+    ``approx`` estimates the distinct counts in one aggregate, without a shuffle of values.
+    """
     types = dict(df.dtypes)
     declared = F.when(
         F.col("column").isin([c for c in columns if _is_number(types[c])]), NUMERIC
     ).otherwise(CATEGORICAL)
-    out = cell_counts(df, columns).groupBy("column").agg(
-        F.count_if(~F.col("is_null")).alias("n_distinct"),
-        F.max(F.col("is_null").cast("int")).alias("has_null"),
-    )
+    if approx:
+        facts = [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.approx_count_distinct(c, 0.01).alias("n_distinct"),
+                F.max(F.col(c).isNull().cast("int")).alias("has_null"),
+            )
+            for c in columns
+        ]
+        out = df.agg(F.array(*facts).alias("f")).select(F.inline("f"))
+    else:
+        out = cell_counts(df, columns).groupBy("column").agg(
+            F.count_if(~F.col("is_null")).alias("n_distinct"),
+            F.max(F.col("is_null").cast("int")).alias("has_null"),
+        )
     two = (F.col("n_distinct") == 2) & F.lit(binary) & (declared == CATEGORICAL)
     return out.withColumn("type", F.when(two, "BINARY").otherwise(declared))
 

@@ -144,3 +144,20 @@ def test_neighbor_literal(spark):
     got = joins.nearest_neighbors(probe, train, "id", ["a", "b", "c"], k=2).orderBy("rank")
     found = [(r["neighbor_id"], round(r["distance"], 4)) for r in got.collect()]
     assert found == [(3, 0.7), (2, 1.6401)]
+
+
+def test_approximate_forms_are_close(spark, folder):
+    table = sales(spark, folder, ("acctbal", "nation", "status"))
+    exact = numeric.fit_bin_edges(table, [("acctbal", 10)])["acctbal", 10]
+    near = numeric.fit_bin_edges(table, [("acctbal", 10)], approx=True)["acctbal", 10]
+    spread = table.train.agg(F.max("acctbal") - F.min("acctbal")).first()[0]
+    assert np.abs(np.subtract(exact, near)).max() < 0.02 * spread
+    a = encode.target_median(table, "nation").df.agg(F.avg("nation")).first()[0]
+    b = encode.target_median(table, "nation", approx=True).df.agg(F.avg("nation")).first()[0]
+    assert b == pytest.approx(a, rel=0.1)
+    names = ("status", "nation", "acctbal")
+    one = {r["column"]: r for r in quality.profile(table.df, names).collect()}
+    two = {r["column"]: r for r in quality.profile(table.df, names, approx=True).collect()}
+    for c in names:
+        assert two[c]["n_distinct"] == pytest.approx(one[c]["n_distinct"], rel=0.05)
+        assert (two[c]["has_null"], two[c]["type"]) == (one[c]["has_null"], one[c]["type"])
