@@ -10,21 +10,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE_ROWS = 600  # labelled rows a language
-SNIPPET = 256  # characters taken of each
+SAMPLE_ROWS = 300  # labelled rows a language
+SNIPPET = 200  # characters taken of each
 LANGUAGES = 500  # more labels than this are an error, not a language list
-BLOCK = 2048  # bytes
-LEVEL = 3
+BLOCK = 4096  # bytes
+LEVEL = 5
 SHARPNESS = 24.0
-MARGIN = 0.003  # relative saving below which a prediction is rejected
+MARGIN = 0.001  # relative saving below which a prediction is rejected
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 5, 0
-SCHEMA = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
+PREDICTION = "lang_pred string, score double, margin double, rejected boolean"
+NAMES = [x.split()[0] for x in PREDICTION.split(", ")]
 
 
 def held_out(doc_id="doc_id", folds: int = FOLDS, fold: int = HELD_OUT):
@@ -54,7 +55,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, snippet: int = SNIPPET) -> dic
     if len(found) > LANGUAGES:
         raise ValueError(f"{len(found)} language labels; at most {LANGUAGES} are expected")
     # the closest bytes are the cheapest to refer to; the order is by hash, so neutral
-    return {k: "\n".join(p for _, p in sorted(v)).encode() for k, v in sorted(found.items())}
+    return {k: "\n".join(p for _, p in sorted(v)).lower().encode() for k, v in sorted(found.items())}
 
 
 class Classifier:
@@ -75,9 +76,9 @@ class Classifier:
 
     def classify(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, relative saving over the second best, whether it is rejected."""
-        if not self.names or not text or not any(map(str.isalpha, text)):
+        if not self.names or not isinstance(text, str) or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0, True
-        data = text.encode("utf-8", "replace")
+        data = text.lower().encode("utf-8", "replace")
         sizes = np.zeros(len(self.names))
         for at in range(0, len(data), BLOCK):
             block = data[at : at + BLOCK]
@@ -90,34 +91,33 @@ class Classifier:
         return self.names[best], float(1 / odds.sum()), margin, margin < MARGIN
 
 
+def judge(spark, dictionaries: dict[str, bytes]):
+    """Column function from a text to its prediction."""
+    # at most LANGUAGES * SAMPLE_ROWS * SNIPPET characters
+    shared = spark.sparkContext.broadcast(dictionaries)
+
+    @F.pandas_udf(PREDICTION)
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Classifier(shared.value)
+        for texts in batches:
+            yield pd.DataFrame([model.classify(t) for t in texts], columns=NAMES)
+
+    return predict
+
+
 def languages(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> DataFrame:
     """Prediction for every row: doc_id, lang_pred, score, margin, rejected.
 
-    Only the text decides.  Null texts and those without a letter are ``und``, score 0, rejected;
-    so is every text if nothing was learned.  Equal sizes go to the first language by name, with
-    margin 0, so rejected.  Repeated rows are judged alike; other columns are ignored; an empty
-    table gives no rows.
+    Only the text decides, case apart.  Null texts and those without a letter are ``und``, score 0,
+    rejected; so is every text if nothing was learned.  Equal sizes go to the first language by
+    name, with margin 0, so rejected.  Repeated rows are judged alike; other columns are ignored;
+    an empty table gives no rows.
     """
-    learned = fit(docs) if dictionaries is None else dictionaries
-    shared = docs.sparkSession.sparkContext.broadcast(learned)  # at most LANGUAGES * rows * snippet
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Classifier(shared.value)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = [judge.classify(x.as_py()) for x in b["text"]]
-            name, score, margin, rejected = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(name, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())],
-                ["doc_id", "lang_pred", "score", "margin", "rejected"],
-            )
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    predict = judge(docs.sparkSession, fit(docs) if dictionaries is None else dictionaries)
+    return docs.select("doc_id", predict("text").alias("p")).select("doc_id", "p.*")
 
 
 def language_filter(docs: DataFrame) -> DataFrame:
-    """Documents whose language is told with enough margin."""
-    sure = languages(docs).where("not rejected").select("doc_id")
-    return docs.join(sure, "doc_id", "left_semi")
+    """Rows whose language is told with enough margin, as they are."""
+    predict = judge(docs.sparkSession, fit(docs))
+    return docs.where(~predict("text")["rejected"])

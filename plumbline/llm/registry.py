@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, langid, packing
+from plumbline.llm import exact, langid, minhash, packing
 from plumbline.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(documents(spark, folder))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_groups(documents(spark, folder))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     out = langid.languages(documents(spark, folder))
     return out.withColumn("held_out", langid.held_out())
@@ -30,7 +34,7 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), tokenizer(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op7_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op4_language_id, op7_packing)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
@@ -43,4 +47,29 @@ ORACLE = {
             doc_id = first_value(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
     """,
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 4))) AS i
+                  FROM w WHERE len(words) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS MATERIALIZED (
+            SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+        reach(node, other) AS (
+            SELECT a, b FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.other)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles,
+            least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id,
+            least(d.doc_id, coalesce(min(r.other), d.doc_id)) = d.doc_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.node = d.doc_id
+        GROUP BY d.doc_id
+    """,
 }
