@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21):
     """Cut Arrow batches into row slices of about ``most`` bytes of text, one row at least."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, langid, minhash, packing
+from plumbline.llm import exact, langid, minhash, packing, substring
 from plumbline.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -34,7 +34,12 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), tokenizer(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op4_language_id, op7_packing)}
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring.repeats(documents(spark, folder))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op4_language_id, op7_packing, op8_substring_dedup)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
@@ -72,4 +77,26 @@ ORACLE = {
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.node = d.doc_id
         GROUP BY d.doc_id
     """,
+    "op8_substring_dedup": r"""
+        WITH w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        g AS MATERIALIZED (
+            SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS gram
+            FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i
+                  FROM w WHERE len(words) > 12)),
+        f AS MATERIALIZED (SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram),
+        gone AS MATERIALIZED (
+            SELECT DISTINCT doc_id, i + unnest(generate_series(0, 12)) AS pos
+            FROM g JOIN f USING (gram) WHERE first_id < doc_id),
+        lost AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept_text
+            FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w)
+                ANTI JOIN gone USING (doc_id, pos)
+            GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+            sha256(coalesce(kept_text, '')) AS kept_sha256
+        FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
