@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.storage import checkpoint_dir
@@ -29,19 +29,26 @@ class Tables:
         self.folder = os.path.join(checkpoint_dir(spark), f"llm-{uuid.uuid4().hex}")
         self.count = 0
 
-    def store(self, df: DataFrame, sizes: bool = False) -> DataFrame:
-        """Write and read back; the shuffle files behind the write are released after it."""
+    def store(self, df: DataFrame, check: tuple[str, ...] = ()) -> DataFrame:
+        """Write and read back; the shuffle files behind the write are released after it.
+
+        The write also counts the rows and adds up hashes of the ``check`` columns.
+        """
         self.count += 1
         path = f"{self.folder}/{self.count}"
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(key, None)
         self.spark.conf.set(key, "true")
+        seen = Observation()
+        total = F.sum(F.xxhash64(*check) % (1 << 40)) if check else F.max(F.lit(0))
+        watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), total.alias("sum"))
         try:
-            df.write.parquet(path)
+            watched.write.parquet(path)
         finally:
             self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_at = path
+        out._rows, out._sum = seen.get["rows"], seen.get["sum"]
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -173,8 +180,8 @@ def connected(tables: Tables, edges: DataFrame) -> DataFrame:
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         ).distinct()
 
-    now = tables.store(links(edges))
-    while True:
+    now = tables.store(links(edges), ("a", "b"))
+    while now._rows:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
         large = links(both.where("b > a").join(low, "a").select("b", "low").toDF("a", "b"))
@@ -186,14 +193,62 @@ def connected(tables: Tables, edges: DataFrame) -> DataFrame:
                 joined.select("a", F.col("low").alias("b"))
             )
         )
-        small = tables.store(small)
-        old, new = (
-            df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
-            for df in (now, small)
-        )
+        small = tables.store(small, ("a", "b"))
         tables.drop(now, large)
+        done = (now._rows, now._sum) == (small._rows, small._sum)
         now = small
-        if tuple(old) == tuple(new):
+        if done:
             break
     roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
+
+
+def bucket_groups(
+    tables: Tables, buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], rounds: int = 3
+) -> DataFrame:
+    """Connected groups (node, root) of the links among members that share a bucket.
+
+    ``buckets`` has ``bucket`` and ``node``; ``confirmed`` takes pairs ``a < b`` and returns those
+    that are linked, with the same columns.  A bucket's pairs are not emitted: in every round each
+    node meets one centre, the one that most of its buckets name, and linked nodes become one group.
+    The last round is complete: it compares all nodes that share a bucket and are in different
+    groups still, which after the first rounds are few, since a large bucket is mostly one group.
+    """
+    nodes = buckets.select("node").distinct()
+    groups = tables.store(nodes.select("node", F.col("node").alias("root")))
+    for turn in range(rounds + 1):
+        placed = buckets.join(groups, "node")
+        live = placed.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q"))
+        placed = placed.join(live.where("p < q").select("bucket"), "bucket")
+        placed = tables.store(placed.select("bucket", "node", "root"))
+        if not placed._rows:
+            break
+        if turn < rounds:
+            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root")
+            centre = placed.groupBy("bucket").agg(F.min(order).alias("c"))
+            pairs = placed.join(centre, "bucket").where("root <> c.root")
+            votes = pairs.groupBy("node", "root", F.col("c.node").alias("other"), F.col("c.root").alias("far"))
+            vote = F.struct("n", F.xxhash64("other").alias("o"), "other", "far")
+            pairs = votes.agg(F.count("*").alias("n")).groupBy("node", "root").agg(F.max(vote).alias("v"))
+            pairs = pairs.select("node", "root", F.col("v.other").alias("other"), F.col("v.far").alias("far"))
+        else:
+            x, y = placed.alias("x"), placed.alias("y")
+            pairs = x.join(y, F.expr("x.bucket = y.bucket and x.node < y.node and x.root <> y.root"))
+            pairs = pairs.select(
+                "x.node", "x.root", F.col("y.node").alias("other"), F.col("y.root").alias("far")
+            )
+        first = F.col("node") < F.col("other")
+        sided = [
+            F.when(first, F.col(p)).otherwise(F.col(q)).alias(n)
+            for n, p, q in (
+                ("a", "node", "other"), ("b", "other", "node"), ("ra", "root", "far"), ("rb", "far", "root")
+            )
+        ]
+        found = tables.store(confirmed(pairs.select(*sided).distinct()))
+        if found._rows:
+            moved = connected(tables, found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            moved = moved.toDF("root", "new")
+            groups = groups.join(moved, "root", "left")
+            groups = tables.store(groups.select("node", F.coalesce("new", "root").alias("root")))
+        tables.drop(placed, found)
+    return groups

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Tables, Words, connected, mix, rolling, text_slices
+from plumbline.llm.common import Tables, Words, bucket_groups, mix, rolling, text_slices
 
 SHINGLE = 5
 PERCENT = 85
@@ -111,8 +111,7 @@ def _confirm(batches: Iterator[pd.DataFrame], percent: int, width: int) -> Itera
             other = shingle_set(y, width)
             both = len(kept & other)
             linked.append(100 * both >= percent * (len(kept) + len(other) - both))
-        out = part.loc[np.array(linked, bool), ["a", "b"]] if linked else part[["a", "b"]]
-        yield out
+        yield part.loc[np.array(linked, bool)].drop(columns=["text_a", "text_b"])
 
 
 def _agreement(x: str, y: str):
@@ -155,58 +154,25 @@ def near_groups(
     signs = ["n_shingles", *(f"s{i}" for i in range(LONGS))]
     classes = tables.store(classes.select("rep", *signs, "bands").dropDuplicates(["rep"]))
     signatures = classes.select("rep", *signs)
-    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
+    buckets = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = tables.store(buckets.join(shared.select("bucket"), "bucket"))
     # texts of classes that share a bucket, the only ones that are ever compared
-    near = buckets.select(F.col("rep").alias("id")).distinct()
+    near = buckets.select(F.col("node").alias("id")).distinct()
     texts = tables.store(
         source.where("text is not null").join(near, "id").dropDuplicates(["id"])
     )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.toDF("a", "text_a"), "a")
-        both = left.join(texts.toDF("b", "text_b"), "b")
-        both = both.select("a", "b", "text_a", "text_b")
-        return both.mapInPandas(lambda it: _confirm(it, percent, width), "a long, b long")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        sided = pairs.join(signatures.alias("x"), F.col("a") == F.col("x.rep"))
-        sided = sided.join(signatures.alias("y"), F.col("b") == F.col("y.rep"))
-        return sided.where(likely("x", "y", percent)).select("a", "b")
-
-    groups = None  # node, root
-    links = None
-    for turn in range(rounds + 1):
-        if groups is None:
-            placed = buckets.select("bucket", "rep", F.col("rep").alias("root"))
-        else:
-            placed = buckets.join(groups, F.col("rep") == F.col("node"), "left")
-            placed = placed.select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-            live = placed.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q"))
-            placed = tables.store(placed.join(live.where("p < q").select("bucket"), "bucket"))
-        if turn < rounds:
-            # one centre a bucket, by a hash of the round, and one centre a document: the one
-            # that most of its buckets name
-            order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "root")
-            centre = placed.groupBy("bucket").agg(F.min(order).alias("c"))
-            pairs = placed.join(centre, "bucket").where("root <> c.root")
-            votes = pairs.groupBy("rep", F.col("c.rep").alias("centre")).count()
-            chosen = votes.groupBy("rep").agg(
-                F.max_by("centre", F.struct("count", F.xxhash64("centre"))).alias("centre")
-            )
-            pairs = chosen.select(F.greatest("rep", "centre").alias("b"), F.least("rep", "centre").alias("a"))
-            pairs = plausible(pairs.distinct())
-        else:
-            x, y = placed.alias("p"), placed.alias("q")
-            cross = x.join(y, F.expr("p.bucket = q.bucket and p.rep < q.rep and p.root <> q.root"))
-            cross = cross.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
-            pairs = plausible(cross)
-        found = tables.store(confirmed(pairs))
-        if found.isEmpty() and turn < rounds:
-            continue
-        links = found if links is None else links.unionAll(found)
-        groups = tables.store(connected(tables, links))
+        x, y = signatures.alias("x"), signatures.alias("y")
+        sided = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
+        sided = sided.where(likely("x", "y", percent)).select(*pairs.columns)
+        sided = sided.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        return sided.select(*pairs.columns, "text_a", "text_b").mapInPandas(
+            lambda it: _confirm(it, percent, width), pairs.schema
+        )
+
+    groups = bucket_groups(tables, buckets, confirmed, rounds)
     roots = members.join(leaders, "key").join(groups, F.col("rep") == F.col("node"), "left")
     roots = roots.groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("component"))
     out = signed.select("id", "n_shingles").join(roots, "id", "left")
