@@ -60,6 +60,7 @@ def exact_groups(
 
     best = F.max_by(F.col("id"), F.struct("n", F.col("id").isNotNull(), -F.col("id")))
     groups = rows.groupBy("list", "recipe").agg(best.alias("keep_id"), F.count("*").alias("size"))
+    groups = tables.store(groups)  # so that both sides are shuffled and a hot group can be split
     out = rows.join(groups, ["list", "recipe"])
     return out.select(
         F.col("id").alias(id_column),
