@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, langid, lines, minhash, packing, substring
+from plumbline.llm import exact, langid, lines, minhash, neighbours, packing, substring
 from plumbline.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_groups(documents(spark, folder))
 
 
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     out = langid.languages(documents(spark, folder))
     return out.withColumn("held_out", langid.held_out())
@@ -45,7 +49,7 @@ def op10_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op4_language_id, op7_packing, op8_substring_dedup, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_nearest_neighbours, op4_language_id, op7_packing, op8_substring_dedup, op10_fuzzy_lines)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
@@ -105,4 +109,16 @@ ORACLE = {
             sha256(coalesce(kept_text, '')) AS kept_sha256
         FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op3_nearest_neighbours": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND list_sum(embedding::DOUBLE[]) IS NOT NULL),
+        d AS (
+            SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_reduce(
+                [(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(a.e, b.e)], lambda x, y: x + y)) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+        SELECT query_id, rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d)
+        WHERE rank <= 10
+    """,
 }
