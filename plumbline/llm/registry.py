@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, langid, lines, minhash, neighbours, packing, substring
+from plumbline.llm import exact, langid, lines, minhash, neighbours, packing, pages, substring
 from plumbline.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -43,13 +43,17 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extracted(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op10_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     out = lines.fuzzy_lines(documents(spark, folder))
     digest = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
     return out.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_nearest_neighbours, op4_language_id, op7_packing, op8_substring_dedup, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_nearest_neighbours, op4_language_id, op7_packing, op8_substring_dedup, op9_html_extraction, op10_fuzzy_lines)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
