@@ -141,16 +141,20 @@ class Words:
         power, inverse = _powers(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[_LOWER[data] if lower else data] * power[: len(data)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
+        self.total, self.inverse = total, inverse
+        self.hash = self.span(self.start, self.end)
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes; those of words are the same for the same bytes."""
+        return mix((self.total[end] - self.total[start]) * self.inverse[start])
+
+    def heads(self, size: int) -> np.ndarray:
+        """Hashes of the first bytes of each word."""
+        return self.span(self.start, np.minimum(self.start + size, self.end))
 
     def __len__(self) -> int:
         return len(self.first) - 1
 
-    def bytes_of(self, row: int) -> list[bytes]:
-        whole = self.data.tobytes()
-        a, b = self.first[row], self.first[row + 1]
-        return [whole[s:e] for s, e in zip(self.start[a:b], self.end[a:b], strict=True)]
-
 
 def rolling(h: np.ndarray, width: int, base: int) -> np.ndarray:
     """Fingerprint of every ``width`` consecutive hashes."""

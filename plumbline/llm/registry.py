@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, langid, lines, minhash, neighbours, packing, pages, substring
+from plumbline.llm import exact, langid, lines, minhash, neighbours, packing, pages, substring, toxicity, wfst
 from plumbline.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def tokenizer(name: str) -> str:
@@ -34,6 +35,15 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("held_out", langid.held_out())
 
 
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return wfst.encoded(documents(spark, folder), tokenizer(PIECE_BPE))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.toxicity(documents(spark, folder), labels)
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), tokenizer(BYTE_BPE))
 
@@ -53,7 +63,7 @@ def op10_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_nearest_neighbours, op4_language_id, op7_packing, op8_substring_dedup, op9_html_extraction, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_nearest_neighbours, op4_language_id, op5_sentencepiece, op6_toxicity, op7_packing, op8_substring_dedup, op9_html_extraction, op10_fuzzy_lines)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
