@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.storage import checkpoint_dir
@@ -208,36 +208,49 @@ def connected(tables: Tables, edges: DataFrame) -> DataFrame:
 
 
 def bucket_groups(
-    tables: Tables, buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], rounds: int = 3
+    tables: Tables,
+    buckets: DataFrame,
+    traits: DataFrame,
+    likeness: Callable[[str, str], tuple[Column, Column]],
+    confirmed: Callable[[DataFrame], DataFrame],
+    rounds: int = 4,
 ) -> DataFrame:
     """Connected groups (node, root) of the links among members that share a bucket.
 
-    ``buckets`` has ``bucket`` and ``node``; ``confirmed`` takes pairs ``a < b`` and returns those
-    that are linked, with the same columns.  A bucket's pairs are not emitted: in every round each
-    node meets one centre, the one that most of its buckets name, and linked nodes become one group.
-    The last round is complete: it compares all nodes that share a bucket and are in different
+    ``buckets`` has ``bucket`` and ``node``, ``traits`` has ``node`` and a struct ``t``.
+    ``likeness(x, y)`` gives, for two such structs, a condition that every linked pair meets and a
+    score of how likely a link is.  ``confirmed`` takes pairs ``a < b`` and returns those that are
+    linked, with the same columns.
+
+    A bucket's pairs are not emitted: in a round every bucket names a centre, each node meets the
+    likeliest of its buckets' centres, and linked nodes become one group.  The last round is
+    complete: it compares all nodes that share a bucket, meet the condition and are in different
     groups still, which after the first rounds are few, since a large bucket is mostly one group.
     """
     nodes = buckets.select("node").distinct()
     groups = tables.store(nodes.select("node", F.col("node").alias("root")))
+    traited = tables.store(buckets.join(traits, "node"))
     for turn in range(rounds + 1):
-        placed = buckets.join(groups, "node")
+        placed = traited.join(groups, "node")
         live = placed.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q"))
         placed = placed.join(live.where("p < q").select("bucket"), "bucket")
-        placed = tables.store(placed.select("bucket", "node", "root"))
+        placed = tables.store(placed.select("bucket", "node", "root", "t"))
         if not placed._rows:
             break
         if turn < rounds:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root")
+            order = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("o"), "node", "root", "t")
             centre = placed.groupBy("bucket").agg(F.min(order).alias("c"))
-            pairs = placed.join(centre, "bucket").where("root <> c.root")
-            votes = pairs.groupBy("node", "root", F.col("c.node").alias("other"), F.col("c.root").alias("far"))
-            vote = F.struct("n", F.xxhash64("other").alias("o"), "other", "far")
-            pairs = votes.agg(F.count("*").alias("n")).groupBy("node", "root").agg(F.max(vote).alias("v"))
+            near, score = likeness("x.t", "c.t")
+            met = placed.alias("x").join(centre, "bucket").where("root <> c.root").where(near)
+            best = F.struct(
+                score.alias("score"), F.col("c.node").alias("other"), F.col("c.root").alias("far")
+            )
+            pairs = met.groupBy("node", "root").agg(F.max(best).alias("v"))
             pairs = pairs.select("node", "root", F.col("v.other").alias("other"), F.col("v.far").alias("far"))
         else:
-            x, y = placed.alias("x"), placed.alias("y")
-            pairs = x.join(y, F.expr("x.bucket = y.bucket and x.node < y.node and x.root <> y.root"))
+            near, _ = likeness("x.t", "y.t")
+            same = F.expr("x.bucket = y.bucket and x.node < y.node and x.root <> y.root")
+            pairs = placed.alias("x").join(placed.alias("y"), same & near)
             pairs = pairs.select(
                 "x.node", "x.root", F.col("y.node").alias("other"), F.col("y.root").alias("far")
             )
@@ -255,4 +268,5 @@ def bucket_groups(
             groups = groups.join(moved, "root", "left")
             groups = tables.store(groups.select("node", F.coalesce("new", "root").alias("root")))
         tables.drop(placed, found)
+    tables.drop(traited)
     return groups

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Tables, Words, bucket_groups, mix, rolling, text_slices
@@ -29,7 +29,7 @@ PERCENT = 85
 BANDS, ROWS = 32, 7  # a pair of similarity 0.85 misses every band with a chance of 4e-6
 LONGS = BANDS * ROWS // 32  # two bits a minimum
 SLACK = 0.15  # five standard deviations of the estimate at 0.85
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 SCHEMA = "id long, key binary, n_shingles long, bands array<long>, " + ", ".join(
     f"s{i} long" for i in range(LONGS)
 )
@@ -125,12 +125,12 @@ def _agreement(x: str, y: str):
     return F.lit(BANDS * ROWS) - differ
 
 
-def likely(x: str, y: str, percent: int = PERCENT, slack: float = SLACK):
-    """Whether set sizes allow the similarity and the corrected estimate comes near it."""
+def likeness(x: str, y: str, percent: int = PERCENT, slack: float = SLACK) -> tuple[Column, Column]:
+    """Whether set sizes and the corrected estimate allow a link, and the estimate."""
     nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
     sizes = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
     estimate = (_agreement(x, y) / (BANDS * ROWS) - 0.25) / 0.75
-    return sizes & (estimate >= percent / 100 - slack)
+    return sizes & (estimate >= percent / 100 - slack), estimate
 
 
 def near_groups(
@@ -153,7 +153,6 @@ def near_groups(
     classes = signed.join(leaders, (signed["id"] == leaders["rep"]) & (signed["key"] == leaders["key"]))
     signs = ["n_shingles", *(f"s{i}" for i in range(LONGS))]
     classes = tables.store(classes.select("rep", *signs, "bands").dropDuplicates(["rep"]))
-    signatures = classes.select("rep", *signs)
     buckets = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = tables.store(buckets.join(shared.select("bucket"), "bucket"))
@@ -164,15 +163,14 @@ def near_groups(
     )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        x, y = signatures.alias("x"), signatures.alias("y")
-        sided = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
-        sided = sided.where(likely("x", "y", percent)).select(*pairs.columns)
-        sided = sided.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        sided = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return sided.select(*pairs.columns, "text_a", "text_b").mapInPandas(
             lambda it: _confirm(it, percent, width), pairs.schema
         )
 
-    groups = bucket_groups(tables, buckets, confirmed, rounds)
+    traits = classes.select(F.col("rep").alias("node"), F.struct(*signs).alias("t"))
+    alike = lambda x, y: likeness(x, y, percent)
+    groups = bucket_groups(tables, buckets, traits, alike, confirmed, rounds)
     roots = members.join(leaders, "key").join(groups, F.col("rep") == F.col("node"), "left")
     roots = roots.groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("component"))
     out = signed.select("id", "n_shingles").join(roots, "id", "left")
