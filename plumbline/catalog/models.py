@@ -859,11 +859,15 @@ def forward_select(spark, folder):
     table = search_table(spark, folder)
     variants = search.all_variants(table)
     encoded = search.encode_variants(table, variants, split.hash_fold("id", 8))
-    _, _, history = search.forward_select(
-        lambda vs: encoded.score(vs, lasso(0.0005)),
-        variants_fn=search.unused_columns(list(encoded.columns)),
+    history = search.forward_select(
+        search.unused_columns(list(encoded.columns)),
+        lambda sets: [encoded.score(vs, lasso(0.0005)) for vs in sets],
     )
-    rows = [(r, v.column, v.technique, s, int(ok)) for r, v, s, ok in history]
+    first = search.winners(history, improved_only=False)
+    rows = [
+        (int(r["round"]), *r["candidate"], float(r["score"]), int(r["improved"]))
+        for r in first.to_dict("records")
+    ]
     return spark.createDataFrame(
         rows, "round int, column string, technique string, score double, improved int"
     )

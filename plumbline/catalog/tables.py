@@ -259,8 +259,10 @@ TIME_TEXTS = ("status", "priority", "flag", "nation")
     "unseen_categories",
     on_time_split_sales(
         """SELECT t.id, t.column_name, t.value FROM cells t
-        WHERE t.split = 'test' AND NOT EXISTS (SELECT 1 FROM cells s WHERE s.split = 'train'
-          AND s.column_name = t.column_name AND s.value IS NOT DISTINCT FROM t.value)""",
+        LEFT JOIN (SELECT DISTINCT column_name, coalesce(value, '<null>') AS value, 1 AS seen
+          FROM cells WHERE split = 'train') s
+        ON s.column_name = t.column_name AND s.value = coalesce(t.value, '<null>')
+        WHERE t.split = 'test' AND s.seen IS NULL""",
         """wide AS (SELECT id, split, status, priority, flag, nation,
           CASE WHEN yr_sold IS NOT NULL THEN 'Y' || CAST(CAST(yr_sold AS INT) AS VARCHAR) END
           AS yr FROM sales), cells AS ("""

@@ -15,7 +15,7 @@ from plumbline.plans.storage import SMALL_ROWS, lookup_join
 from plumbline.spec import CATEGORICAL, ColumnSpec, safe_name
 from plumbline.table import TRAIN, FeatureTable
 
-# more levels than this are joined as a table, not written into the plan
+# more entries than this are joined as a table, not written into the plan; the result is the same
 LITERAL_LEVELS = 1_000
 
 
@@ -23,15 +23,17 @@ LITERAL_LEVELS = 1_000
 
 
 def infer_levels(table: FeatureTable, columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
-    """Sorted distinct values per column over both splits; raises when a column has too many."""
+    """Sorted distinct values per column over both splits.
+
+    The levels become part of the schema, so they are gathered on the driver, however many.
+    """
     if not columns:
         return {}
     pairs = long_form(table.df, [], columns, "string").where("value IS NOT NULL").distinct()
-    limit = LITERAL_LEVELS * len(columns)
-    found = pairs.limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {LITERAL_LEVELS} levels per column; declare them instead")
-    return {c: tuple(sorted(r["value"] for r in found if r["column"] == c)) for c in columns}
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for r in pairs.toLocalIterator():
+        found[r["column"]].append(r["value"])
+    return {c: tuple(sorted(v)) for c, v in found.items()}
 
 
 def to_categorical(table: FeatureTable, column: str, levels: Sequence[str] | None = None):
@@ -283,19 +285,30 @@ def target_moments(
 def map_values(
     table: FeatureTable, maps: Mapping[str, Mapping], strict: bool = True
 ) -> FeatureTable:
-    """Map values through a dictionary per column; null stays null, unmapped values raise."""
+    """Map values through a dictionary per column; null stays null, unmapped values raise.
+
+    A long dictionary is joined as a table instead of written into the plan.
+    """
     out = {}
     for c, mapping in maps.items():
         if c not in table.df.columns:
             continue
         if len(mapping) > LITERAL_LEVELS:
-            raise ValueError(f"the map of {c} is too long for the plan; join it as a table")
-        pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-        code = F.try_element_at(pairs, F.col(c))
+            kind = table.df.schema[c].dataType.simpleString()
+            value = "bigint" if all(isinstance(v, int) for v in mapping.values()) else "double"
+            rows = [(k, v if value == "bigint" else float(v)) for k, v in mapping.items()]
+            name = f"__map_{c}"
+            entries = table.df.sparkSession.createDataFrame(rows, f"__key {kind}, `{name}` {value}")
+            joined = table.df.join(entries, F.col(c) == F.col("__key"), "left").drop("__key")
+            table, code = replace(table, df=joined), F.col(name)
+        else:
+            pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+            code = F.try_element_at(pairs, F.col(c))
         if strict:
             text = F.concat(F.lit(f"unmapped value in {c}: "), F.col(c).cast("string"))
             whole = all(isinstance(v, int) for v in mapping.values())
             failed = F.raise_error(text).cast("int" if whole else "double")
             code = F.when(F.col(c).isNotNull() & code.isNull(), failed).otherwise(code)
         out[c] = code
-    return table.with_numeric(out)
+    mapped = table.with_numeric(out)
+    return replace(mapped, df=mapped.df.drop(*[f"__map_{c}" for c in out]))

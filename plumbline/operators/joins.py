@@ -35,75 +35,67 @@ def nearest_neighbors(
     k: int = 5,
     weights: Sequence[float] | None = None,
     exclude_self: bool = True,
-    block_rows: int = 10_000,
+    split: str | None = None,
+    block_rows: int = 4_096,
+    chunk_rows: int = 65_536,
 ) -> DataFrame:
     """(probe_id, rank, neighbor_id, distance) of the k nearest train rows of each probe.
 
-    Probes are taken in blocks of a fixed size.  Each block goes to the train scan, where every
-    task keeps only its k best rows per probe, so the shuffle carries tasks x probes x k rows.
-    Rows with a null feature take no part.  Equal distances are ordered by id.
+    With ``split``, rows are known by (split, id), a probe leaves out only the row that has both,
+    and the result starts with ``probe_split``.  Probes that share a key are searched for one by
+    one.  Rows with a null feature take no part.  Equal distances are ordered by id.
+
+    Blocks of probes meet chunks of train rows, each of a bounded size, in tasks of their own; the
+    shuffle to the ranking carries chunks x k rows a probe.
     """
-    features = list(features)
+    features, keys = list(features), [split, id] if split else [id]
     scale = [float(w) for w in weights] if weights is not None else [1.0] * len(features)
-    narrow = train.select(id, *features).dropna(subset=features)
-    todo = probes.select(id, *features).dropna(subset=features)
-    parts, last = [], None
-    while True:
-        page = todo if last is None else todo.where(F.col(id) > F.lit(last))
-        block = page.orderBy(id).limit(block_rows).toPandas()
-        if block.empty:
-            break
-        parts.append(_block_neighbors(block, narrow, id, features, scale, k, exclude_self))
-        last = block[id].iloc[-1].item()
-        if len(block) < block_rows:
-            break
-    if not parts:
-        schema = "probe_id bigint, rank int, neighbor_id bigint, distance double"
-        return train.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _block_neighbors(block, narrow: DataFrame, id, features, scale, k, exclude_self) -> DataFrame:
-    import numpy as np
-
-    probe_ids = block[id].to_numpy()
-    points = block[features].to_numpy(dtype=float) * np.array(scale)
-
-    def best(dist, ids):
-        order = np.lexsort((ids, dist))[:k]
-        return dist[order], ids[order]
-
-    def scan(batches: Iterator):
+    narrow = train.select(*keys, *features).dropna(subset=features)
+    # written, so that the numbers that tell equal keys apart stay the same
+    todo = probes.select(*keys, *features).dropna(subset=features)
+    todo = materialize(todo.withColumn("__probe", F.monotonically_increasing_id()))
+    blocks = max(1, -(-todo.count() // block_rows))
+    chunks = max(1, -(-narrow.count() // chunk_rows))
+    place = F.xxhash64(*keys, *features)
+    left = narrow.withColumn("__chunk", F.pmod(place, F.lit(chunks))).withColumn(
+        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+    right = todo.withColumn("__block", F.pmod(F.xxhash64("__probe"), F.lit(blocks)).cast("int")).withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")))
+    )
+    group = ["__block", "__chunk"]
+
+    def best(rows, asked):
+        import numpy as np
         import pandas as pd
 
-        kept = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in probe_ids]
-        for pdf in batches:
-            ids = pdf[id].to_numpy()
-            x = pdf[features].to_numpy(dtype=float) * np.array(scale)
-            for j, (pid, p) in enumerate(zip(probe_ids, points)):
-                dist = np.sqrt(((x - p) ** 2).sum(axis=1))
-                if exclude_self:
-                    dist = np.where(ids == pid, np.inf, dist)
-                near = dist <= (kept[j][0][-1] if len(kept[j][0]) == k else np.inf)
-                near &= np.isfinite(dist)
-                if near.any():
-                    d = np.concatenate([kept[j][0], dist[near]])
-                    kept[j] = best(d, np.concatenate([kept[j][1], ids[near]]))
-        yield pd.DataFrame(
-            {
-                "probe_id": np.repeat(probe_ids, [len(d) for d, _ in kept]),
-                "neighbor_id": np.concatenate([i for _, i in kept]),
-                "distance": np.concatenate([d for d, _ in kept]),
-            }
-        )
-
-    found = narrow.mapInPandas(scan, "probe_id bigint, neighbor_id bigint, distance double")
-    rank = F.row_number().over(W.partitionBy("probe_id").orderBy("distance", "neighbor_id"))
+        x = rows[features].to_numpy(dtype=float) * np.array(scale)
+        ids = rows[id].to_numpy()
+        found = []
+        for r, p in zip(asked.itertuples(), asked[features].to_numpy(dtype=float) * np.array(scale)):
+            dist = np.sqrt(((x - p) ** 2).sum(axis=1))
+            usable = np.isfinite(dist)
+            if exclude_self:
+                same = ids == asked.at[r.Index, id]
+                if split:
+                    same &= (rows[split] == asked.at[r.Index, split]).to_numpy()
+                usable &= ~same
+            at = np.flatnonzero(usable)
+            at = at[np.lexsort((ids[at], dist[at]))[:k]]
+            found.append(pd.DataFrame({
+                "__probe": asked.at[r.Index, "__probe"], "neighbor_id": ids[at], "distance": dist[at],
+            }))
+        columns = ["__probe", "neighbor_id", "distance"]
+        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
+
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
+        best, "__probe bigint, neighbor_id bigint, distance double"
+    )
+    rank = F.row_number().over(W.partitionBy("__probe").orderBy("distance", "neighbor_id"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return ranked.select("probe_id", "rank", "neighbor_id", "distance")
+    named = todo.select("__probe", *[F.col(c).alias(f"probe_{n}") for c, n in zip(keys[::-1], ("id", "split"))])
+    first = ["probe_split"] if split else []
+    return named.join(ranked, "__probe").select(*first, "probe_id", "rank", "neighbor_id", "distance")
 
 
 def neighbor_average(

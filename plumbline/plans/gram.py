@@ -231,7 +231,8 @@ def fold_grams(
 ) -> Grams:
     """Cross products per fold, in one pass.
 
-    Rows with a null among features and target are left out.  A few columns use covariance
+    Rows with a null or NaN among features and target are left out, and an infinite number among
+    the rest is an error, however many columns there are.  A few columns use covariance
     aggregates; more are multiplied block by block with NumPy, where every task centres its
     rows on their own mean, so that large means cost no digits.
     """
@@ -262,9 +263,12 @@ def _covariances(rows: DataFrame, names: list[str]) -> dict[int, Moments]:
             F.count("*").alias("n"),
             F.array(*[F.avg(c) for c in names]).alias("mean"),
             F.array(*[F.covar_pop(names[i], names[j]) for i, j in pairs]).alias("cov"),
+            F.array(*[F.max(F.abs(c)) for c in names]).alias("most"),
         )
         .collect()
     )
+    for r in found:
+        _refuse_infinite(names, np.isinf(np.array(r["most"])))
     out = {}
     for r in found:
         cross = np.zeros((d, d))
@@ -274,6 +278,11 @@ def _covariances(rows: DataFrame, names: list[str]) -> dict[int, Moments]:
     return out
 
 
+def _refuse_infinite(names: list[str], found: np.ndarray) -> None:
+    if found.any():
+        raise ValueError(f"infinite values in {[n for n, bad in zip(names, found) if bad]}")
+
+
 def _block_moments(rows: DataFrame, names: list[str]) -> dict[int, Moments]:
     d = len(names)
     at = np.triu_indices(d)
@@ -303,8 +312,9 @@ def _block_moments(rows: DataFrame, names: list[str]) -> dict[int, Moments]:
             x = pdf[names].to_numpy(dtype=float)
             # incomplete rows are dropped here: as a filter, the test for nulls would repeat the
             # expression behind every column
-            whole = np.isfinite(x).all(axis=1)
+            whole = ~np.isnan(x).any(axis=1)
             x, fold = x[whole], pdf["__fold"].to_numpy()[whole]
+            _refuse_infinite(names, np.isinf(x).any(axis=0))
             for k in np.unique(fold):
                 part = Moments.of_rows(x[fold == k])
                 sums[int(k)] = sums[int(k)].plus(part) if int(k) in sums else part

@@ -102,11 +102,14 @@ def linear_fitter(features: Sequence[str], target: str, recipe: Linear) -> Fitte
 
 
 def estimator_fitter(features: Sequence[str], target: str, *stages) -> Fitter:
-    """Chain of ML stages after a vector assembler; the last one reads ``features``."""
+    """Chain of ML stages after a vector assembler; the last one reads ``features``.
+
+    A null feature is an error: fill before, since no row may go missing from a prediction.
+    """
 
     def fit(df: DataFrame):
         chain: list[Transformer] = [
-            VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+            VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
         ]
         cur = chain[0].transform(df)
         for s in stages:
@@ -161,11 +164,6 @@ def poly_ridge_fitter(
     return estimator_fitter(features, target, expand, reg)
 
 
-def binned_fitter(columns: Sequence[str], features: Sequence[str], target: str) -> Fitter:
-    """Lightly regularised linear model on one-hot bins."""
-    return linear_fitter(features, target, ridge(1e-6))
-
-
 # --- scores
 
 

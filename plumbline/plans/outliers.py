@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -154,7 +155,7 @@ def error_model(
 
 
 def greedy_removal(
-    table: FeatureTable, features: Sequence[str], fold, max_rounds: int
+    table: FeatureTable, features: Sequence[str], fold, max_rounds: int | None = None
 ) -> tuple[list[int], DataFrame]:
     """Take out one train row per round, the one whose absence scores best, while that helps.
 
@@ -167,7 +168,7 @@ def greedy_removal(
     history: list[tuple] = [(0, None, best)]
     gone: list[int] = []
     cur = table
-    for r in range(1, max_rounds + 1):
+    for r in count(1) if max_rounds is None else range(1, max_rounds + 1):
         top = loo_from(cur, grams, fold).orderBy("score", key).first()
         if top is None or top["score"] >= best:
             break

@@ -11,7 +11,8 @@ from plumbline.operators.sampling import mix
 from plumbline.plans.gram import Grams, Linear, fold_grams
 from plumbline.table import FeatureTable
 
-BUCKETS = 128
+# row buckets that folds and test shares are put together from; shares are whole at 1 in 200
+BUCKETS = 200
 
 
 def bucket_grams(table: FeatureTable, features: Sequence[str], buckets: int = BUCKETS) -> Grams:
@@ -29,6 +30,12 @@ def deal(buckets: Sequence[int], k: int, seed: int) -> dict[int, int]:
     return {b: i % k for i, b in enumerate(order)}
 
 
+def test_split(buckets: Sequence[int], ratio: float, seed: int) -> dict[int, int]:
+    """Seeded choice of the buckets that are tested on (1): their share is the nearest to ratio."""
+    tested = round(ratio * len(buckets))
+    return {b: int(place < tested) for b, place in deal(buckets, len(buckets), seed).items()}
+
+
 def repeated_cv(grams: Grams, recipe: Linear, k: int, seeds: Sequence[int]) -> list[tuple]:
     """(seed, fold, score) rows; every seed deals the buckets into folds anew."""
     out = []
@@ -55,9 +62,7 @@ def strategy_sweep(
             rows.append((f"{k}_folds", int(s), sum(scores) / len(scores)))
     for ratio in test_ratios:
         for s in seeds:
-            hundredths = deal(list(grams.folds), 100, s)
-            split = {b: int(f < round(ratio * 100)) for b, f in hundredths.items()}
-            parts = grams.regroup(split)
+            parts = grams.regroup(test_split(list(grams.folds), ratio, s))
             model = parts.fit(recipe, without=1)
             rows.append((f"test_{ratio:g}", int(s), parts.rmse(model, 1)))
     schema = "strategy string, seed int, score double"

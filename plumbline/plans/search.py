@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import encode, numeric
-from plumbline.operators.columns import duplicate_column, retain_columns
+from plumbline.operators.columns import retain_columns
 from plumbline.plans.gram import Grams, Linear, fold_grams
 from plumbline.plans.storage import SMALL_ROWS, materialize
 from plumbline.spec import NUMERIC, safe_name
@@ -115,44 +115,6 @@ def valid_variants(table: FeatureTable, variants: Sequence[Variant], small=SMALL
     return [v for v in variants if valid(v)]
 
 
-def apply_variant(
-    table: FeatureTable, v: Variant, copy: bool = True, small: int = SMALL_ROWS
-) -> tuple[FeatureTable, list[str]] | None:
-    """The table with the variant applied and the columns it made; None if it does not apply."""
-    c = v.column
-    if copy:
-        table, c = duplicate_column(table, v.column, v.name), v.name
-    before = set(table.df.columns) - {c}
-    t = v.technique
-    out: FeatureTable | None
-    if t == "none":
-        out = table
-    elif t == "extract_0":
-        out = numeric.extract_value(table, c, 0)
-    elif t == "linearize_order_2":
-        out = numeric.poly_linearize(table, c, 2)
-    elif t == "linearize_order_3":
-        out = numeric.poly_linearize(table, c, 3)
-    elif t == "extract_0_linearize_order_2":
-        out = numeric.poly_linearize(table, c, 2, skip=0)
-    elif bin_count(t):
-        out = numeric.quantile_bin_one_hot(table, {c: bin_count(t)}, small)
-    elif t == "one_hot":
-        out = encode.one_hot_levels(table, [c], strict=False)
-    elif t == "label_encoding":
-        out = encode.label_encode(table, [c], fail_on_unseen=False)
-    elif t == "target_mean":
-        out = encode.target_mean(table, c)
-    elif t == "target_median":
-        out = encode.target_median(table, c, small=small)
-    else:
-        raise ValueError(f"unknown technique {t}")
-    if out is None:
-        return None
-    made = [x for x in out.df.columns if x not in before and x in out.spec.columns]
-    return (out, made) if made else None
-
-
 @dataclass(frozen=True)
 class Encoded:
     """All variants encoded next to each other, and their cross products per fold."""
@@ -183,68 +145,121 @@ def scaled(grams: Grams) -> Grams:
     return Grams(grams.features, grams.target, grams.shift / width[1:], folds)
 
 
+# --- techniques: a family learns the constants of all its variants together
+#
+# Each takes a table and variants and returns {variant: {suffix: expression}}; a variant that does
+# not apply is left out.
+
+
+def _plain(table, variants, small):
+    return {v: {"": F.col(v.column)} for v in variants}
+
+
+def _extracted(table, variants, small):
+    moved = numeric.fit_extract(table, [v.column for v in variants], 0)
+    at = {v: moved.get(v.column) for v in variants}
+    return {
+        v: {"": F.when(F.col(v.column) == 0, F.lit(x)).otherwise(F.col(v.column))}
+        for v, x in at.items()
+        if x is not None
+    }
+
+
+ORDERS = {"linearize_order_2": 2, "linearize_order_3": 3}
+
+
+def _lines(table, variants, small):
+    columns = sorted({v.column for v in variants})
+    fits = numeric.fit_polynomials(table, columns, tuple(sorted(set(ORDERS.values()))))
+    found = {v: fits.get((v.column, ORDERS[v.technique])) for v in variants}
+    return {v: {"": p.apply(F.col(v.column))} for v, p in found.items() if p is not None}
+
+
+def _lines_beside_zero(table, variants, small):
+    fits = numeric.fit_polynomials(table, [v.column for v in variants], (2,), skip=0)
+    out = {}
+    for v in variants:
+        x, p = F.col(v.column), fits.get((v.column, 2))
+        if p is not None:
+            out[v] = {"": F.when(x == 0, x).otherwise(p.apply(x))}
+    return out
+
+
+def _bins(table, variants, small):
+    wanted = {(v.column, bin_count(v.technique)): v for v in variants}
+    edges = numeric.fit_bin_edges(table, list(wanted), small)
+    return {
+        v: {str(i): flag for i, flag in enumerate(numeric.bin_flags(F.col(v.column), edges[key]), 1)}
+        for key, v in wanted.items()
+        if edges[key] is not None
+    }
+
+
+def _flags(table, variants, small):
+    hit = lambda c, level: F.coalesce(F.col(c) == F.lit(level), F.lit(False)).cast("int")
+    return {
+        v: {level: hit(v.column, level) for level in table.spec[v.column].categories[1:]}
+        for v in variants
+    }
+
+
+def _codes(table, variants, small):
+    return {
+        v: {"": encode.ordinal_code(F.col(v.column), table.spec[v.column].categories)}
+        for v in variants
+    }
+
+
+def _statistics(table, variants, small):
+    y = table.spec.target
+    columns = sorted({v.column for v in variants})
+    stats = encode.category_stats(table, columns, small).collect()
+    defaults = {
+        "target_mean": ("mean", table.train.agg(F.avg(y)).first()[0]),
+        "target_median": ("median", numeric.column_quantiles(table.train, {y: [0.5]}, small)[y][0]),
+    }
+    return {v: {"": encode.stat_lookup(stats, v.column, *defaults[v.technique])} for v in variants}
+
+
+TECHNIQUES: dict[str, Callable] = {
+    "none": _plain,
+    "extract_0": _extracted,
+    **dict.fromkeys(ORDERS, _lines),
+    "extract_0_linearize_order_2": _lines_beside_zero,
+    **{t: _bins for t in NUMERIC_TECHNIQUES if bin_count(t)},
+    "one_hot": _flags,
+    "label_encoding": _codes,
+    **dict.fromkeys(("target_mean", "target_median"), _statistics),
+}
+
+
 def variant_columns(
     table: FeatureTable, variants: Sequence[Variant], small: int = SMALL_ROWS
 ) -> dict[Variant, dict[str, Column]]:
     """The encoded columns of every applicable variant, as expressions on the source columns.
 
-    Constants are learned per technique for all columns together, so the number of passes does
-    not grow with the number of columns.
+    Constants are learned per family of techniques for all columns together, so the number of
+    passes does not grow with the number of columns.
     """
-    by: dict[str, list[str]] = {}
+    families: dict[Callable, list[Variant]] = {}
     for v in variants:
-        by.setdefault(v.technique, []).append(v.column)
-    out: dict[Variant, dict[str, Column]] = {}
-
-    for c in by.get("none", []):
-        v = Variant(c, "none")
-        out[v] = {v.name: F.col(c)}
-    if "extract_0" in by:
-        for c, moved in numeric.fit_extract(table, by["extract_0"], 0).items():
-            if moved is not None:
-                v = Variant(c, "extract_0")
-                out[v] = {v.name: F.when(F.col(c) == 0, F.lit(moved)).otherwise(F.col(c))}
-    lines = sorted({*by.get("linearize_order_2", []), *by.get("linearize_order_3", [])})
-    for (c, order), p in numeric.fit_polynomials(table, lines, (2, 3)).items():
-        v = Variant(c, f"linearize_order_{order}")
-        if p is not None and c in by.get(v.technique, []):
-            out[v] = {v.name: p.apply(F.col(c))}
-    t = "extract_0_linearize_order_2"
-    for (c, _), p in numeric.fit_polynomials(table, by.get(t, []), (2,), skip=0).items():
-        if p is not None:
-            v, x = Variant(c, t), F.col(c)
-            out[v] = {v.name: F.when(x == 0, x).otherwise(p.apply(x))}
-    bins = [(v.column, bin_count(v.technique)) for v in variants if bin_count(v.technique)]
-    for (c, n), edges in numeric.fit_bin_edges(table, bins, small).items():
-        if edges is not None:
-            v = Variant(c, f"quantile_bin({n})")
-            flags = numeric.bin_flags(F.col(c), edges)
-            out[v] = {f"{v.name}_{i + 1}": flag for i, flag in enumerate(flags)}
-    for c in by.get("label_encoding", []):
-        v = Variant(c, "label_encoding")
-        out[v] = {v.name: encode.ordinal_code(F.col(c), table.spec[c].categories)}
-    for c in by.get("one_hot", []):
-        v = Variant(c, "one_hot")
-        out[v] = {
-            safe_name(f"{v.name}_{level}"): F.coalesce(
-                F.col(c) == F.lit(level), F.lit(False)
-            ).cast("int")
-            for level in table.spec[c].categories[1:]
-        }
-    stat_columns = sorted({*by.get("target_mean", []), *by.get("target_median", [])})
-    if stat_columns:
-        limit = encode.LITERAL_LEVELS * len(stat_columns)
-        stats = encode.category_stats(table, stat_columns, small).limit(limit + 1).collect()
-        if len(stats) > limit:
-            raise ValueError("too many categories for a search; drop or group the widest column")
-        t = table.spec.target
-        default_mean = table.train.agg(F.avg(t)).first()[0]
-        default_median = numeric.column_quantiles(table.train, {t: [0.5]}, small)[t][0]
-        for kind, default in (("mean", default_mean), ("median", default_median)):
-            for c in by.get(f"target_{kind}", []):
-                v = Variant(c, f"target_{kind}")
-                out[v] = {v.name: encode.stat_lookup(stats, c, kind, default)}
-    return {v: out[v] for v in variants if v in out}
+        families.setdefault(TECHNIQUES[v.technique], []).append(v)
+    made = {}
+    for family, members in families.items():
+        made |= family(table, members, small)
+    return {
+        v: {safe_name(f"{v.name}_{x}") if x else v.name: e for x, e in made[v].items()}
+        for v in variants
+        if v in made
+    }
+
+
+def apply_variant(
+    table: FeatureTable, variant: Variant, small: int = SMALL_ROWS
+) -> tuple[FeatureTable, list[str]] | None:
+    """The table with the variant's columns added, and their names; None if it does not apply."""
+    made = variant_columns(table, [variant], small).get(variant)
+    return (table.with_numeric(made), list(made)) if made else None
 
 
 def encode_variants(
@@ -268,62 +283,55 @@ def encode_variants(
     return Encoded(encoded, {v: cols for v, cols in columns.items() if cols}, grams)
 
 
-# --- best-of and greedy search over any kind of variant
+# --- selection: a round is a table of all its candidates
 
 
-def better(reference: float | None, score: float, goal: str = "min") -> bool:
-    if reference is None:
-        return True
-    return score < reference if goal == "min" else score > reference
+def score_table(candidates: Sequence, scores: Sequence[float], goal: str = "min"):
+    """(ordinal, candidate, score), best first; equal scores keep the order of the candidates."""
+    import pandas as pd
 
+    out = pd.DataFrame({"ordinal": range(len(candidates)), "candidate": candidates, "score": scores})
+    return out.sort_values(["score", "ordinal"], ascending=[goal == "min", True], ignore_index=True)
 
-def single_best(variants: Sequence, score: Callable, goal: str = "min"):
-    """(variant, score) of the best variant; the first of equal ones wins."""
-    best = best_score = None
-    for v in variants:
-        s = score(v)
-        if better(best_score, s, goal):
-            best, best_score = v, s
-    return best, best_score
+
+def selection_rounds(candidates: Callable[[list], Sequence], evaluate: Callable, goal: str = "min"):
+    """Score tables of successive rounds, each on top of the winners before it.
+
+    ``candidates`` gives what is open after the winners so far; ``evaluate`` scores a batch of
+    candidate sets at once.
+    """
+    winners: list = []
+    while len(offered := list(candidates(winners))):
+        table = score_table(offered, evaluate([winners + [c] for c in offered]), goal)
+        yield table
+        winners.append(table.at[0, "candidate"])
 
 
 def forward_select(
-    score: Callable[[list], float],
-    variants: Sequence | None = None,
-    variants_fn: Callable[[list], Sequence] | None = None,
-    goal: str = "min",
-    stop_if_no_progress: bool = True,
-    on_validated: Callable | None = None,
-    on_round: Callable | None = None,
-) -> tuple[list, float | None, list[tuple]]:
-    """Greedy forward selection: add the variant that scores best, until none improves.
-
-    Returns the chosen variants, their score, and (round, variant, score, improved) rows.
-    ``variants_fn`` gives the candidates of a round; by default chosen ones are just removed.
+    candidates: Callable[[list], Sequence], evaluate: Callable, goal: str = "min", exhaust: bool = False
+):
+    """All rounds up to the first that does not improve on the best before it, as one table.
+
+    Columns: round, ordinal, candidate, score, improved (of the round).  Within a round the winner
+    comes first.  With ``exhaust`` rounds go on until no candidate is open.
     """
-    chosen: list = []
-    best: float | None = None
-    history = []
-    pool = list(variants or [])
-    while True:
-        candidates = list(variants_fn(chosen)) if variants_fn else pool
-        if not candidates:
-            break
-        pick, s = single_best([*map(lambda v: [*chosen, v], candidates)], score, goal)
-        improved = better(best, s, goal)
-        history.append((len(history) + 1, pick[-1], s, improved))
-        if not improved and stop_if_no_progress:
+    import pandas as pd
+
+    rounds, reached = [], float("inf")
+    for number, table in enumerate(selection_rounds(candidates, evaluate, goal), 1):
+        top = table.at[0, "score"] * (1 if goal == "min" else -1)
+        rounds.append(table.assign(round=number, improved=top < reached))
+        if top >= reached and not exhaust:
             break
-        if improved:
-            best = s
-        chosen.append(pick[-1])
-        if on_validated:
-            on_validated(pick[-1])
-        if on_round:
-            on_round(list(chosen))
-        if not variants_fn:
-            pool.remove(pick[-1])
-    return chosen, best, history
+        reached = min(reached, top)
+    columns = ["round", "ordinal", "candidate", "score", "improved"]
+    return pd.concat(rounds, ignore_index=True)[columns] if rounds else pd.DataFrame(columns=columns)
+
+
+def winners(history, improved_only: bool = True):
+    """The winning row of every round, by default of those that improved."""
+    first = history[~history.duplicated("round")]
+    return first[first["improved"]] if improved_only else first
 
 
 def unused_columns(variants: Sequence[Variant]) -> Callable[[list], list[Variant]]:

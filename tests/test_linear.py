@@ -231,32 +231,52 @@ def test_repeated_scores(table):
     sizes = np.bincount(list(deal.values()))
     assert sizes.max() - sizes.min() <= 1
     assert scorestats.deal(list(g.folds), 5, seed=4) != deal
+    for ratio in (0.05, 0.1, 0.25, 0.5):
+        for seed in range(3):
+            split = scorestats.test_split(range(scorestats.BUCKETS), ratio, seed)
+            assert sum(split.values()) == ratio * scorestats.BUCKETS
+    rows = scorestats.bucket_grams(t, NAMES)
+    tested = rows.regroup(scorestats.test_split(list(rows.folds), 0.25, 0)).folds[1][0, 0]
+    assert abs(tested / rows.total[0, 0] - 0.25) < 0.05
     sweep = scorestats.strategy_sweep(t, NAMES, ols(), (2, 3), (0.25,), seeds=(0, 1))
     assert sweep.count() == 6 and sweep.where("score < 0.8 OR score > 1.3").count() == 0
 
 
+@pytest.mark.parametrize("width", [2, 9])
+def test_infinite_values_are_an_error_at_any_width(spark, width):
+    names = [f"c{i}" for i in range(width)]
+    row = lambda i, x: (i, float(i), *[x + i * j for j in range(width)])
+    schema = "id bigint, y double, " + ", ".join(f"{n} double" for n in names)
+    good = [row(i, 1.0) for i in range(8)]
+    missing = [(9, 1.0, *[None] * width), (10, 1.0, *[float("nan")] * width)]
+    grams = fold_grams(spark.createDataFrame(good + missing, schema), names, "y")
+    assert grams.total[0, 0] == len(good)
+    with pytest.raises(Exception, match="infinite values"):
+        fold_grams(spark.createDataFrame([*good, row(8, float("inf"))], schema), names, "y")
+
+
 # --- search
 
 
 def test_forward_selection_rules():
     gain = {"a": 3, "b": 2, "c": -1}
-    score = lambda vs: 10 - sum(gain[v] for v in vs)
-    rounds, commits = [], []
-    chosen, best, history = search.forward_select(
-        score, ["b", "a", "c"], on_round=rounds.append, on_validated=commits.append
-    )
-    assert chosen == ["a", "b"] and best == 5
-    assert [h[3] for h in history] == [True, True, False]
-    assert rounds == [["a"], ["a", "b"]] and commits == ["a", "b"]
-    top, value, _ = search.forward_select(lambda vs: len(vs), ["x", "y"], goal="max")
-    assert top == ["x", "y"] and value == 2
-    everything, best, _ = search.forward_select(score, ["a", "c"], stop_if_no_progress=False)
-    assert everything == ["a", "c"] and best == 7
+    evaluate = lambda sets: [10 - sum(gain[v] for v in vs) for vs in sets]
+    rest = lambda names: lambda chosen: [v for v in names if v not in chosen]
+    history = search.forward_select(rest("bac"), evaluate)
+    assert list(history["round"]) == [1, 1, 1, 2, 2, 3]
+    won = search.winners(history)
+    assert list(won["candidate"]) == ["a", "b"] and list(won["score"]) == [7, 5]
+    assert list(search.winners(history, improved_only=False)["improved"]) == [True, True, False]
+    up = search.forward_select(rest("xy"), lambda sets: [len(vs) for vs in sets], goal="max")
+    assert list(search.winners(up)["candidate"]) == ["x", "y"]
+    whole = search.forward_select(rest("cda"), lambda sets: [len(vs) for vs in sets], exhaust=True)
+    assert list(search.winners(whole, improved_only=False)["candidate"]) == ["c", "d", "a"]
+    assert search.forward_select(rest(""), evaluate).empty
 
 
 def test_first_of_equal_scores_wins():
-    assert search.single_best(["x", "y", "z"], lambda v: 1.0) == ("x", 1.0)
-    assert search.single_best([1, 2, 3], lambda v: v, "max") == (3, 3)
+    assert search.score_table(["x", "y", "z"], [1.0, 1.0, 1.0]).at[0, "candidate"] == "x"
+    assert search.score_table([1, 2, 3], [1, 2, 3], "max").at[0, "candidate"] == 3
 
 
 def test_batched_variants_equal_single_ones(spark):
@@ -285,9 +305,12 @@ def test_batched_variants_equal_single_ones(spark):
 def test_greedy_search_finds_the_driver(spark):
     t, *_ = make(spark)
     encoded = search.encode_variants(t, search.all_variants(t), sampling.hash_fold("id", 4))
-    chosen, best, _ = search.forward_select(
-        lambda vs: encoded.score(vs, ols()), variants_fn=search.unused_columns(list(encoded.columns))
+    history = search.forward_select(
+        search.unused_columns(list(encoded.columns)),
+        lambda sets: [encoded.score(vs, ols()) for vs in sets],
     )
+    won = search.winners(history)
+    chosen, best = list(won["candidate"]), won["score"].iloc[-1]
     assert {v.column for v in chosen[:2]} == {"a", "b"} and best < 1.2
     assert len({v.column for v in chosen}) == len(chosen)
     assert encoded.score([search.Variant("a", "no_such")], ols()) == search.FAIL_SCORE

@@ -123,7 +123,7 @@ def test_neighbors_in_blocks(skewed):
     data = skewed.where("v IS NOT NULL").withColumn("w", F.col("id") % 13)
     probes = data.where("id % 300 = 1")
     got = joins.nearest_neighbors(
-        probes, data, "id", ["v", "w"], k=4, weights=[1.0, 3.0], block_rows=3
+        probes, data, "id", ["v", "w"], k=4, weights=[1.0, 3.0], block_rows=3, chunk_rows=150
     )
     pdf = data.toPandas()
     x = pdf[["v", "w"]].to_numpy(float) * [1.0, 3.0]
@@ -146,6 +146,35 @@ def test_neighbor_literal(spark):
     assert found == [(3, 0.7), (2, 1.6401)]
 
 
+def test_levels_and_maps_beyond_the_literal_bound(spark):
+    from plumbline.spec import ColumnSpec, SchemaSpec
+    from plumbline.table import FeatureTable
+
+    n = encode.LITERAL_LEVELS + 500
+    rows_ = [(i, f"v{i:05d}", float(i), "train") for i in range(n)] + [(n, None, 0.0, "test")]
+    df = spark.createDataFrame(rows_, "id bigint, c string, y double, split string")
+    table = FeatureTable(df, SchemaSpec("id", "y", {"c": ColumnSpec("CATEGORICAL", ())}))
+    assert encode.infer_levels(table, ["c"])["c"] == tuple(f"v{i:05d}" for i in range(n))
+    for size in (10, n):
+        part = table.with_df(table.df.where(F.col("id").isNull() | (F.col("id") < size) | (F.col("id") == n)))
+        out = encode.map_values(part, {"c": {f"v{i:05d}": i for i in range(size)}})
+        got = {r["id"]: r["c"] for r in out.df.collect()}
+        assert got == {**{i: i for i in range(size)}, n: None} and set(out.df.columns) == set(df.columns)
+    with pytest.raises(Exception, match="unmapped value"):
+        encode.map_values(table, {"c": {f"v{i:05d}": i for i in range(n - 1)}}).df.collect()
+
+
+def test_neighbors_by_split_and_id(spark):
+    schema = "split string, id bigint, x double"
+    train = spark.createDataFrame([("train", 0, 0.0), ("train", 1, 1.0), ("train", 2, 5.0)], schema)
+    probes = [("test", 0, 0.1), ("test", 0, 4.0), ("train", 0, 0.0), ("test", 7, None)]
+    got = joins.nearest_neighbors(
+        spark.createDataFrame(probes, schema), train, "id", ["x"], k=1, split="split", block_rows=1
+    )
+    found = sorted((r["probe_split"], r["probe_id"], r["neighbor_id"], round(r["distance"], 6)) for r in got.collect())
+    assert found == [("test", 0, 0, 0.1), ("test", 0, 2, 1.0), ("train", 0, 1, 1.0)]
+
+
 def test_approximate_forms_are_close(spark, folder):
     table = sales(spark, folder, ("acctbal", "nation", "status"))
     exact = numeric.fit_bin_edges(table, [("acctbal", 10)])["acctbal", 10]
