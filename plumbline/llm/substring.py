@@ -10,7 +10,7 @@ falling names) is its own symbol.  Then, in Spark:
 1. Texts of equal word sequences are one class, by a digest of the whole sequence (the root of its
    parse); only the smallest doc_id of a class goes on, the others repeat it from end to end.
 2. Symbols are grouped; those of one class only cannot lie in a repeated window.
-3. Windows all of whose symbols are shared are fingerprinted with 128 bits and grouped, which
+3. Windows all of whose symbols are shared are fingerprinted with 96 bits and grouped, which
    verifies them and finds the smallest document each starts in.
 4. Words under windows that a smaller document has are removed.
 
@@ -121,7 +121,8 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         take = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [part["id"].take(take), part["row"].take(take), pa.array(at, pa.int32()),
-             *(pa.array(p[word].view(np.int64)) for p in parse.prints)],
+             pa.array(parse.prints[0][word].view(np.int64)),
+             pa.array((parse.prints[1][word] >> np.uint64(32)).astype(np.uint32).view(np.int32))],
             names,
         )
 
@@ -184,26 +185,33 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
     firsts = long.select("id", "row", "digest").join(leaders, "digest")
     firsts = firsts.where("id = leader").select("id", "row", F.xxhash64("digest").alias("class"))
-    firsts = firsts.distinct().join(marked, "class").select("id", "row", "shared")
+    firsts = tables.store(firsts.distinct().join(marked, "class").select("id", "row", "shared"))
+    wide, heads = heads, tables.store(heads.select("id", "row", "n_words", "digest"))
+    tables.drop(shared, wide)
+    leaders = tables.store(
+        heads.where(F.col("id").isNotNull() & (F.col("n_words") >= width))
+        .groupBy("digest").agg(F.min("id").alias("leader"))
+    )
     sought = tables.store(source.join(firsts, ["id", "row"]).dropDuplicates(["id", "row"]))
-    tables.drop(shared)
+    tables.drop(firsts)
 
     windows = tables.store(
         sought.select("id", "row", "text", "shared").mapInArrow(
-            lambda it: _windows(it, width), "id long, row long, pos int, f1 long, f2 long"
+            lambda it: _windows(it, width), "id long, row long, pos int, f1 long, f2 int"
         )
     )
     first = windows.groupBy("f1", "f2").agg(F.min("id").alias("p"), F.max("id").alias("q"))
-    first = first.where("p < q").select("f1", "f2", "p")
+    # written, so that both sides of the join are shuffled and hot windows can be split
+    first = tables.store(first.where("p < q").select("f1", "f2", "p"))
     starts = windows.join(first, ["f1", "f2"]).where("id > p")
-    starts = starts.groupBy("id", "row").agg(F.collect_list("pos").alias("starts"))
+    starts = tables.store(starts.groupBy("id", "row").agg(F.collect_list("pos").alias("starts")))
     cut = tables.store(
         sought.select("id", "row", "text").join(starts, ["id", "row"]).mapInArrow(
             lambda it: _cut(it, width),
             "id long, row long, n_removed long, kept_text string, kept_sha256 string",
         )
     )
-    tables.drop(windows, sought)
+    tables.drop(windows, sought, first)
 
     rows = heads.select("id", "row", "n_words", "digest").join(leaders, "digest", "left")
     rows = rows.alias("h").join(cut.alias("c"), ["id", "row"], "left")
