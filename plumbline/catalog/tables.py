@@ -471,6 +471,23 @@ def manifest(spark, folder):
     return io.manifest(table, qual.profile(table.df, ("id", "target", *SALES_COLUMNS)))
 
 
+@query(
+    "csv_roundtrip",
+    on_sales(
+        """SELECT id, CASE WHEN split = 'train' THEN target END AS target, status, acctbal, flag,
+        split FROM sales"""
+    ),
+)
+def csv_roundtrip(spark, folder):
+    """Write both splits as CSV and read them back by the schema, ids and numbers typed."""
+    table = sales(spark, folder, ("status", "acctbal", "flag"))
+    path = os.path.join(checkpoint_dir(spark), f"pair-{uuid.uuid4().hex}")
+    io.write_csv(table.train.drop("split"), f"{path}/train.csv")
+    io.write_csv(table.test.drop("split", "target"), f"{path}/test.csv")
+    back = io.load_pair(spark, f"{path}/train.csv", f"{path}/test.csv", table.spec)
+    return back.df.select("id", "target", "status", "acctbal", "flag", "split")
+
+
 @query(
     "save_roundtrip",
     on_sales(

@@ -20,22 +20,19 @@ def read_table(spark: SparkSession, path: str, spec: SchemaSpec | None = None) -
         reader = spark.read.option("header", True).option("nullValue", "NA")
         if spec is None:
             return reader.option("inferSchema", True).csv(path)
-        raw = reader.csv(path)
-        casts = {
-            c: F.col(c).try_cast("double")
-            for c, s in spec.columns.items()
-            if s.type == NUMERIC and c in raw.columns
-        }
-        if spec.target in raw.columns:
-            casts[spec.target] = F.col(spec.target).try_cast("double")
-        if spec.id in raw.columns:
-            casts[spec.id] = F.col(spec.id).try_cast("bigint")
-        return raw.withColumns(casts)
+        return _typed_csv(reader.csv(path), spec)
     if path.endswith((".json", ".jsonl")):
         return spark.read.json(path)
     return spark.read.parquet(path)
 
 
+def _typed_csv(raw: DataFrame, spec: SchemaSpec) -> DataFrame:
+    """Columns of a CSV as the spec says: numbers and the target double, the id bigint."""
+    kinds = {c: "double" for c, s in spec.columns.items() if s.type == NUMERIC}
+    kinds |= {spec.target: "double", spec.id: "bigint"}
+    return raw.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items() if c in raw.columns})
+
+
 def load_pair(
     spark: SparkSession, train_path: str, test_path: str | None, spec: SchemaSpec
 ) -> FeatureTable:
@@ -68,7 +65,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)
 
 
-def save(table: FeatureTable, folder: str, scores: DataFrame | None = None, fmt: str = "csv"):
+def save(table: FeatureTable, folder: str, scores: DataFrame | None = None, fmt: str = "parquet"):
     """Write ``train``, ``test`` and, if given, per-row scores, each with its ids, and the spec."""
     spec = table.spec
     df = table.df
@@ -100,8 +97,7 @@ def load_saved(spark: SparkSession, folder: str, fmt: str = "parquet") -> Featur
         path = os.path.join(folder, name)
         if fmt == "csv":
             raw = spark.read.option("header", True).option("nullValue", "NA").csv(path)
-            casts = {c: F.col(c).try_cast("double") for c in raw.columns if c == spec.target}
-            return raw.withColumns(casts) if casts else raw
+            return _typed_csv(raw, spec)
         return spark.read.format(fmt).load(path)
 
     return FeatureTable.from_pair(load("train"), load("test"), spec)

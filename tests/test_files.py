@@ -45,7 +45,8 @@ def test_save_and_load(spark, csv_pair, tmp_path, fmt):
     back = io.load_saved(spark, str(tmp_path / "out"), fmt)
     order = sorted(csv_pair.df.columns)
     as_text = lambda df: sorted(tuple(map(str, r)) for r in df.select(*order).collect())
-    assert as_text(back.df.withColumn("Id", F.col("Id").cast("bigint"))) == as_text(csv_pair.df)
+    assert as_text(back.df) == as_text(csv_pair.df)
+    assert dict(back.df.dtypes) == dict(csv_pair.df.dtypes)
     assert back.spec == csv_pair.spec
     io.save(csv_pair, str(tmp_path / "scored"), scores, fmt="parquet")
     assert spark.read.parquet(str(tmp_path / "scored" / "train")).where("score = 1.5").count() == 3
