@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.registry import on_sales, on_time_split_sales, query
 from plumbline.operators import columns as cols
 from plumbline.operators import quality as qual
-from plumbline.operators.encode import map_values
+from plumbline.operators.encode import map_values, to_numeric
 from plumbline.operators.joins import complete_range
 from plumbline.plans.storage import checkpoint_dir
 from plumbline.sources import io
@@ -506,3 +506,66 @@ def save_roundtrip(spark, folder):
     return io.load_saved(spark, path).df.select(
         "id", "target", "status", "acctbal", "flag", "score", "split"
     )
+
+
+# --- column sets and guards, several operators a query
+
+
+@query(
+    "column_shapes",
+    on_sales(
+        """SELECT id, CASE WHEN split = 'train' THEN target ELSE 7.5 END AS target, acctbal,
+        acctbal AS acctbal_copy, TRY_CAST(status AS DOUBLE) AS status_code,
+        yr_sold, split
+        FROM sales WHERE acctbal >= 0 AND (yr_sold IS NULL OR yr_sold >= 1995)"""
+    ),
+)
+def column_shapes(spark, folder):
+    """Copies of a column, a text cast to a number, categories dropped, rows kept by a condition,
+    and a constant target for test rows."""
+    table = sales(spark, folder, ("acctbal", "status", "segment", "yr_sold"))
+    table = cols.keep_rows(
+        table, (F.col("acctbal") >= 0) & (F.col("yr_sold").isNull() | (F.col("yr_sold") >= 1995))
+    )
+    table = cols.duplicate_column(table, "acctbal", "acctbal_copy")
+    table = to_numeric(cols.duplicate_column(table, "status", "status_code"), "status_code")
+    table = qual.require_numeric(cols.remove_categoricals(table))
+    return cols.add_constant_target(table, 7.5).df.select(
+        "id", "target", "acctbal", "acctbal_copy", "status_code", "yr_sold", "split"
+    )
+
+
+@query(
+    "column_difference",
+    on_sales(
+        """SELECT 'only_left' AS side, 'segment' AS column_name WHERE EXISTS (FROM sales)
+        UNION ALL SELECT 'only_right', 'flag' WHERE EXISTS (FROM sales)"""
+    ),
+)
+def column_difference(spark, folder):
+    """Columns that only one of two tables has."""
+    left = sales(spark, folder, ("status", "segment")).df
+    right = sales(spark, folder, ("status", "flag")).df
+    found = cols.column_difference(left, right)
+    rows = [(side, c) for side, names in found.items() for c in names]
+    some = not left.isEmpty()
+    return spark.createDataFrame(rows if some else [], "side string, column_name string")
+
+
+@query(
+    "incomplete_rows",
+    on_sales(
+        """SELECT split, count(*) AS n_rows, max(bad) AS any_missing, 0 AS any_nan FROM (
+          SELECT split, CAST(n_lines IS NULL OR sum_qty IS NULL AS INT) AS bad FROM sales)
+        WHERE bad = 1 GROUP BY split"""
+    ),
+)
+def incomplete_rows(spark, folder):
+    """Rows with a missing feature, by split, and whether any number is NaN."""
+    table = sales(spark, folder, ("n_lines", "sum_qty"))
+    whole = table.df.count()
+    bad = qual.sanity_rows(table, show=whole)
+    nan = int(qual.has_nan(table))
+    return bad.groupBy("split").agg(
+        F.count("*").alias("n_rows"), F.lit(1).alias("any_missing"), F.lit(nan).alias("any_nan")
+    )
