@@ -1,7 +1,7 @@
 """Exact duplicates by content-defined chunk recipes, with DataFrame functions only.
 
-A text without white space is cut where its own content says so: behind the first sentence end
-after ``LEAST`` characters, or after ``MOST``.  Each distinct chunk gets an identifier that is
+A text without white space is cut where its own content says so: behind the first sentence
+of a certain ending after ``LEAST`` characters, or after ``MOST``.  Each distinct chunk gets an identifier that is
 verified against the chunk's characters, and texts are equal when their ordered identifier lists
 are.  Only distinct chunks are shuffled with their characters, once, after map-side
 deduplication; documents move as lists of 8 bytes a chunk.
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Tables
 
-LEAST, MOST = 256, 2048
-CUT = r"(?s).{%d,%d}?(?<=[.!?。！？])|.{1,%d}" % (LEAST, MOST, MOST)
+LEAST, MOST = 64, 2048
+# about one sentence end in four is a cut, so that texts fall into step again after a difference
+CUT = r"(?s).{%d,%d}?(?:(?<=[dhms37][.!?])|(?<=[。！？]))|.{1,%d}" % (LEAST, MOST, MOST)
 
 
 def squeezed(text: Column) -> Column:
