@@ -29,10 +29,10 @@ class Tables:
         self.folder = os.path.join(checkpoint_dir(spark), f"llm-{uuid.uuid4().hex}")
         self.count = 0
 
-    def store(self, df: DataFrame, check: tuple[str, ...] = ()) -> DataFrame:
+    def store(self, df: DataFrame, total: Column | None = None) -> DataFrame:
         """Write and read back; the shuffle files behind the write are released after it.
 
-        The write also counts the rows and adds up hashes of the ``check`` columns.
+        The write also counts the rows and adds up ``total``.
         """
         self.count += 1
         path = f"{self.folder}/{self.count}"
@@ -40,7 +40,7 @@ class Tables:
         before = self.spark.conf.get(key, None)
         self.spark.conf.set(key, "true")
         seen = Observation()
-        total = F.sum(F.xxhash64(*check) % (1 << 40)) if check else F.max(F.lit(0))
+        total = F.max(F.lit(0)) if total is None else F.sum(total)
         watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), total.alias("sum"))
         try:
             watched.write.parquet(path)
@@ -184,7 +184,8 @@ def connected(tables: Tables, edges: DataFrame) -> DataFrame:
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         ).distinct()
 
-    now = tables.store(links(edges), ("a", "b"))
+    mark = F.xxhash64("a", "b") % (1 << 40)
+    now = tables.store(links(edges), mark)
     while now._rows:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
@@ -197,7 +198,7 @@ def connected(tables: Tables, edges: DataFrame) -> DataFrame:
                 joined.select("a", F.col("low").alias("b"))
             )
         )
-        small = tables.store(small, ("a", "b"))
+        small = tables.store(small, mark)
         tables.drop(now, large)
         done = (now._rows, now._sum) == (small._rows, small._sum)
         now = small
@@ -207,6 +208,9 @@ def connected(tables: Tables, edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
 
 
+PAIRS_A_ROW = 8
+
+
 def bucket_groups(
     tables: Tables,
     buckets: DataFrame,
@@ -226,18 +230,22 @@ def bucket_groups(
     likeliest of its buckets' centres, and linked nodes become one group.  The last round is
     complete: it compares all nodes that share a bucket, meet the condition and are in different
     groups still, which after the first rounds are few, since a large bucket is mostly one group.
+    It comes at once when the buckets that are not one group hold few pairs for their rows.
     """
     nodes = buckets.select("node").distinct()
     groups = tables.store(nodes.select("node", F.col("node").alias("root")))
     traited = tables.store(buckets.join(traits, "node"))
     for turn in range(rounds + 1):
         placed = traited.join(groups, "node")
-        live = placed.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q"))
-        placed = placed.join(live.where("p < q").select("bucket"), "bucket")
-        placed = tables.store(placed.select("bucket", "node", "root", "t"))
+        live = placed.groupBy("bucket").agg(
+            F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("n")
+        )
+        placed = placed.join(live.where("p < q").select("bucket", "n"), "bucket")
+        placed = tables.store(placed.select("bucket", "node", "root", "t", "n"), F.col("n"))
         if not placed._rows:
             break
-        if turn < rounds:
+        last = turn == rounds or placed._sum <= PAIRS_A_ROW * placed._rows
+        if not last:
             order = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("o"), "node", "root", "t")
             centre = placed.groupBy("bucket").agg(F.min(order).alias("c"))
             near, score = likeness("x.t", "c.t")
@@ -268,5 +276,7 @@ def bucket_groups(
             groups = groups.join(moved, "root", "left")
             groups = tables.store(groups.select("node", F.coalesce("new", "root").alias("root")))
         tables.drop(placed, found)
+        if last:
+            break
     tables.drop(traited)
     return groups
