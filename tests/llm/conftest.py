@@ -1,6 +1,6 @@
 import pytest
 
-LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(30_000))
+LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(12_000))
 # clashing names: columns that operators use inside
 EXTRA = "id long, row string, n int, size int, line int, node string, root string, lang string, kept string"
 
