@@ -209,6 +209,7 @@ def connected(tables: Tables, edges: DataFrame) -> DataFrame:
 
 
 PAIRS_A_ROW = 8
+CENTRES = 4
 
 
 def bucket_groups(
@@ -226,8 +227,8 @@ def bucket_groups(
     score of how likely a link is.  ``confirmed`` takes pairs ``a < b`` and returns those that are
     linked, with the same columns.
 
-    A bucket's pairs are not emitted: in a round every bucket names a centre, each node meets the
-    likeliest of its buckets' centres, and linked nodes become one group.  The last round is
+    A bucket's pairs are not emitted: in a round every bucket names a few centres, each node meets
+    the likeliest of its buckets' centres, and linked nodes become one group.  The last round is
     complete: it compares all nodes that share a bucket, meet the condition and are in different
     groups still, which after the first rounds are few, since a large bucket is mostly one group.
     It comes at once when the buckets that are not one group hold few pairs for their rows.
@@ -247,7 +248,8 @@ def bucket_groups(
         last = turn == rounds or placed._sum <= PAIRS_A_ROW * placed._rows
         if not last:
             order = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("o"), "node", "root", "t")
-            centre = placed.groupBy("bucket").agg(F.min(order).alias("c"))
+            salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES))
+            centre = placed.groupBy("bucket", salt.alias("salt")).agg(F.min(order).alias("c"))
             near, score = likeness("x.t", "c.t")
             met = placed.alias("x").join(centre, "bucket").where("root <> c.root").where(near)
             best = F.struct(
@@ -275,7 +277,10 @@ def bucket_groups(
             moved = moved.toDF("root", "new")
             groups = groups.join(moved, "root", "left")
             groups = tables.store(groups.select("node", F.coalesce("new", "root").alias("root")))
-        tables.drop(placed, found)
+        # buckets that have become one group stay so
+        tables.drop(traited, found)
+        traited = placed.drop("root", "n")
+        traited._stored_at = placed._stored_at
         if last:
             break
     tables.drop(traited)
