@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as e
 from check_oracle import compare, duck
 from conftest import plan
+from plumbline import catalog
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def has_keys(df):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", sorted(e.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, folder, name):
     """Equal rows, from a plan without a join that lacks keys."""
     ok, text = compare(spark, con, name, folder, inspect=has_keys)
