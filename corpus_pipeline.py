@@ -6,7 +6,7 @@ columns of ``documents``:
 
 1. ``language_id`` drops documents without a letter and those whose two best languages compress
    them alike;
-2. ``exact_dedup`` keeps one of the documents that agree but for white space;
+2. ``exact_dedup`` keeps one row of those whose texts agree but for white space, whatever their ids;
 3. ``near_dedup`` keeps the smallest doc_id of each group of near duplicates;
 4. ``substring_dedup`` cuts passages of 13 words and more that a document with a smaller doc_id has;
 5. ``packing`` tokenises what is left and returns the pieces of the packed sequences.

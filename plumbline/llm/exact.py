@@ -39,13 +39,35 @@ def exact_groups(
     loses against any other id.  Other columns are ignored, whatever their names; an empty table
     gives an empty result.  ``hash_bits`` narrows the chunk hash, for tests of its collisions.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark)
+    tables = Tables(docs.sparkSession)
+    rows = _rows(tables, docs, id_column, text_column, hash_bits)
+    best = F.max_by(F.col("id"), F.struct("n", F.col("id").isNotNull(), -F.col("id")))
+    groups = rows.groupBy("list", "recipe").agg(best.alias("keep_id"), F.count("*").alias("size"))
+    groups = tables.store(groups)  # so that both sides are shuffled and a hot group can be split
+    out = rows.join(groups, ["list", "recipe"])
+    return out.select(
+        F.col("id").alias(id_column),
+        "keep_id",
+        F.col("size").alias("group_size"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        "text_sha256",
+    )
+
+
+def _own(text: Column) -> Column:
+    """Digest of the text as it is, white space included; of null the empty string."""
+    return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(""))
+
+
+def _rows(
+    tables: Tables, docs: DataFrame, id_column: str, text_column: str, hash_bits: int = 64, own: bool = False
+) -> DataFrame:
+    """id, length, digest, recipe and its hash ``list`` of every row, with ``own`` also ``_own``."""
     name = F.xxhash64 if hash_bits >= 64 else lambda c: F.xxhash64(c) % (1 << hash_bits)
     text = squeezed(F.col(text_column))
     source = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.length(text_column), F.lit(0)).alias("n"),
-        text.alias("squeezed"),
+        text.alias("squeezed"), *([_own(F.col(text_column)).alias("own")] if own else []),
     )
 
     # distinct chunks, compared by content; a hash that names two of them is a collision
@@ -54,22 +76,11 @@ def exact_groups(
     clash = tables.store(distinct.groupBy("hash").count().where("count > 1").select("hash"))
     recipe = F.transform(chunks("squeezed"), lambda c: F.struct(name(c).alias("h"), F.lit(0).alias("k")))
     digest = F.sha2(F.col("squeezed").cast("binary"), 256)
-    rows = source.select("id", "n", digest.alias("text_sha256"), recipe.alias("recipe"))
+    kept = ["id", "n", "own"] if own else ["id", "n"]
+    rows = source.select(*kept, digest.alias("text_sha256"), recipe.alias("recipe"))
     if not clash.isEmpty():
         rows = _resolved(tables, source, distinct, clash, rows, name)
-    rows = tables.store(rows.withColumn("list", F.xxhash64("recipe")))
-
-    best = F.max_by(F.col("id"), F.struct("n", F.col("id").isNotNull(), -F.col("id")))
-    groups = rows.groupBy("list", "recipe").agg(best.alias("keep_id"), F.count("*").alias("size"))
-    groups = tables.store(groups)  # so that both sides are shuffled and a hot group can be split
-    out = rows.join(groups, ["list", "recipe"])
-    return out.select(
-        F.col("id").alias(id_column),
-        "keep_id",
-        F.col("size").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
-    )
+    return tables.store(rows.withColumn("list", F.xxhash64("recipe")))
 
 
 def _resolved(tables, source, distinct, clash, rows, name):
@@ -97,10 +108,31 @@ def _resolved(tables, source, distinct, clash, rows, name):
         c["h"].alias("h"),
         F.coalesce(F.try_element_at(F.col("m.marks"), i), F.lit(0)).alias("k"),
     )
-    return joined.select("r.id", "n", "r.text_sha256", F.transform("recipe", number).alias("recipe"))
+    same = [F.col(f"r.{c}") for c in rows.columns if c != "recipe"]
+    return joined.select(*same, F.transform("recipe", number).alias("recipe"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns."""
-    kept = exact_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of every group of equal texts, with its columns.
+
+    The row is the one that ``exact_groups`` prefers, also if its id is null or repeated; among rows
+    of that id and length the one whose text has the largest digest, null after any text.  Of rows
+    that agree in id and text an arbitrary one stays.
+    """
+    tables = Tables(docs.sparkSession)
+    rows = _rows(tables, docs, "doc_id", "text", own=True)
+    copies = rows.groupBy("list", "recipe", "id", "n", "own").agg(F.count("*").alias("copies"))
+    order = F.struct("n", F.col("id").isNotNull(), -F.col("id"), "own")
+    best = copies.groupBy("list", "recipe").agg(F.max_by(F.struct("id", "own", "copies"), order).alias("b"))
+    best = tables.store(best.select("b.*"), (F.col("copies") > 1).cast("long"))
+    tables.drop(rows)
+
+    def stay(of: DataFrame) -> DataFrame:
+        same = (F.col("d.__own") == F.col("s.own")) & F.col("d.doc_id").eqNullSafe(F.col("s.id"))
+        marked = docs.withColumn("__own", _own(F.col("text")))
+        return marked.alias("d").join(of.alias("s"), same, "left_semi")
+
+    out = stay(best.where("copies = 1"))
+    if best._sum:  # rows that agree in id and text
+        out = out.unionAll(stay(best.where("copies > 1")).dropDuplicates(["doc_id", "__own"]))
+    return out.drop("__own")

@@ -44,6 +44,28 @@ def test_kept_documents(small):
     assert kept.columns == small.columns
 
 
+def test_one_row_of_every_group_stays(spark, messy):
+    """Null ids, repeated ids and repeated rows: as many rows as groups, each the preferred one."""
+    more = [(None, "alone"), (None, "pair"), (None, "pair"), (30, "one id"), (30, "two texts"), (31, "two  texts"),
+            (32, "same"), (32, "same"), (33, "a b"), (33, "ab "), (34, "null beats no id"), (None, "null beats noid")]
+    extra = spark.createDataFrame(more, "doc_id long, text string")
+    docs = messy.unionByName(extra, allowMissingColumns=True)
+    groups = defaultdict(list)
+    for i, t in rows_of(docs):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((i, t))
+
+    def place(row):
+        i, t = row
+        own = hashlib.sha256(t.encode()).hexdigest() if t is not None else ""
+        return (len(t or ""), i is not None, -(i or 0), own)
+
+    want = sorted((max(own, key=place) for own in groups.values()), key=str)
+    kept = exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(rows_of(kept), key=str) == want
+    assert (None, "alone") in want and (None, "pair") in want and (32, "same") in want
+
+
 def test_chunks_cover_the_text_and_follow_its_content():
     text = "".join(f"Sentence number {i} ends in {chr(97 + i * 7 % 26)}." for i in range(400))
     cut = re.compile(CUT)
