@@ -56,6 +56,34 @@ def test_title_in_the_header_of_an_article():
     assert main_text(page) == "Title\nSome text of the article."
 
 
+TEXT = "Words of a paragraph that is long enough to be read as a part of the article itself. "
+
+
+def test_no_part_of_an_article_is_dropped():
+    part = lambda n: f"<p>{TEXT * n}</p>"
+    menu = "<div><ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a>" for i in range(9)) + "</ul></div>"
+    for tag in ("article", "main", "div"):
+        page = f"{menu}<{tag}><h1>Title</h1><p>lead</p><div class=body>{part(3) * 3}</div></{tag}>{menu}"
+        assert main_text(page).split("\n") == ["Title", "lead"] + [(TEXT * 3).strip()] * 3
+        page = f"<{tag}><section>{part(13)}</section><section>{part(7)}</section></{tag}>{menu}"
+        assert [len(x) for x in main_text(page).split("\n")] == [len(TEXT) * 13 - 1, len(TEXT) * 7 - 1]
+    page = f"<body>{menu}<div><div><h1>Title</h1></div><div>{part(9)}</div></div></body>"
+    assert main_text(page).split("\n")[0] == "Title"
+
+
+def test_names_of_states_and_of_the_whole_page():
+    body = f"<h1>Title</h1><p>{TEXT * 3}</p>"
+    want = f"Title\n{(TEXT * 3).strip()}"
+    side = f"<div class='sidebar-left'><p>{TEXT}</p></div><div id=comments><p>{TEXT * 9}</p></div>"
+    for name in ("content has-sidebar", "post comments-open", "content-sidebar-wrap", "no-comments", "widget"):
+        for tag in ("div", "article", "section"):
+            if name == "widget" and tag == "article":
+                continue
+            assert main_text(f"<{tag} class='{name}'>{body}</{tag}>{side}") == want, name
+    for name in ("sidebar", "site-footer", "comments", "AdBanner", "cookie-notice"):
+        assert main_text(f"<div>{body}<p>{TEXT}</p></div><div class='{name}'><p>{TEXT}</p></div>").count("\n") == 2, name
+
+
 def test_smoothing_and_threshold():
     assert np.allclose(smoothed(np.ones(9)), 1)
     assert 2 < threshold(np.array([0.0, 1.0, 0.5, 9.0, 10.0])) < 9
