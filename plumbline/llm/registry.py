@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bestfit, exact, langid, lines, minhash, neighbours, packing, pages, substring, toxicity, wfst
+from plumbline.llm import bestfit, exact, langid, lines, minhash, neighbours, packing, pages, substring, toxicity, wfst, whitening
 from plumbline.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -67,7 +67,11 @@ def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return bestfit.best_two_fit(documents(spark, folder), tokenizer(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_nearest_neighbours, op4_language_id, op5_sentencepiece, op6_toxicity, op7_packing, op8_substring_dedup, op9_html_extraction, op10_fuzzy_lines, op12_best_fit_packing)}
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_nearest_neighbours, op4_language_id, op5_sentencepiece, op6_toxicity, op7_packing, op8_substring_dedup, op9_html_extraction, op10_fuzzy_lines, op12_best_fit_packing, op13_embedding_whitening)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
