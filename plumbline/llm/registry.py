@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bestfit, exact, langid, lines, minhash, neighbours, packing, pages, substring, toxicity, wfst, whitening
+from plumbline.llm import balltree, bestfit, exact, langid, lines, minhash, neighbours, packing, pages, substring, toxicity, wfst, whitening
 from plumbline.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -63,6 +63,11 @@ def op10_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return balltree.ranked(documents(spark, folder), items).select("item_id", "rank", "doc_id", "score")
+
+
 def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return bestfit.best_two_fit(documents(spark, folder), tokenizer(BYTE_BPE))
 
@@ -71,7 +76,7 @@ def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_nearest_neighbours, op4_language_id, op5_sentencepiece, op6_toxicity, op7_packing, op8_substring_dedup, op9_html_extraction, op10_fuzzy_lines, op12_best_fit_packing, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_nearest_neighbours, op4_language_id, op5_sentencepiece, op6_toxicity, op7_packing, op8_substring_dedup, op9_html_extraction, op10_fuzzy_lines, op11_ranked_search, op12_best_fit_packing, op13_embedding_whitening)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
@@ -131,6 +136,35 @@ ORACLE = {
             sha256(coalesce(kept_text, '')) AS kept_sha256
         FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op11_ranked_search": r"""
+        WITH docs AS MATERIALIZED (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM docs GROUP BY ALL),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM docs GROUP BY doc_id),
+        corpus AS MATERIALIZED (SELECT count(*) AS n_docs, sum(n)::BIGINT AS l FROM n),
+        w AS MATERIALIZED (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus),
+        asked AS MATERIALIZED (
+            SELECT item_id, term, count(*) AS q
+            FROM (SELECT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark)
+            GROUP BY ALL),
+        s AS (
+            SELECT item_id, doc_id, sum(q * w * (1000000000 * tf
+                // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l))))::BIGINT AS score
+            FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), corpus
+            GROUP BY ALL)
+        SELECT item_id, rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+              FROM s WHERE score > 0)
+        WHERE rank <= 20
+    """,
     "op3_nearest_neighbours": """
         WITH v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
