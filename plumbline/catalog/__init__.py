@@ -6,7 +6,7 @@ from importlib import import_module
 
 from plumbline.catalog.registry import ORACLE, QUERIES, Query
 
-MODULES = ("tables", "features", "house", "scores", "models")
+MODULES = ("tables", "features", "house", "scores", "models", "ensembles")
 
 
 def _load() -> None:
