@@ -10,7 +10,7 @@ from plumbline.catalog.tables import r4
 from plumbline.operators import joins, numeric
 from plumbline.operators import quality as qual
 from plumbline.operators import sampling as split
-from plumbline.plans import ensembles, trees
+from plumbline.plans import ensembles, sparse, trees
 from plumbline.plans.gram import fold_grams, ols
 from plumbline.sources.tables import TIME_SPLIT_SQL, time_split
 
@@ -94,6 +94,42 @@ def kernel_ridge(spark, folder):
     return model.predict(table.test, "prediction").select("id", r4("prediction"))
 
 
+# --- wide one-hot designs
+
+
+def by_balance(spark, folder):
+    """Train and test rows with the whole amount of the balance as a category."""
+    table = signal(spark, folder)
+    return table.with_columns({"amount": F.floor("acctbal").cast("string")})
+
+
+@query(
+    "wide_regression",
+    on_signal(
+        """SELECT id, round(b + coalesce((s - n * b) / (n + l), 0), 4) AS prediction
+        FROM (SELECT id, floor(acctbal) AS a FROM sig WHERE split = 'test') t
+        LEFT JOIN g USING (a), bias""",
+        """g AS (SELECT floor(acctbal) AS a, count(*) AS n, sum(target) AS s,
+          (SELECT 0.001 * count(*) FROM tr) AS l FROM tr GROUP BY 1)""",
+        "bias AS (SELECT sum(s / (n + l)) / sum(n / (n + l)) AS b FROM g)",
+    ),
+)
+def wide_regression(spark, folder):
+    """Ridge regression on one column of thousands of levels."""
+    table = by_balance(spark, folder)
+    fit = sparse.ridge_one_hot(table.train, ["amount"], "target", "id", 0.001)
+    return fit.predict(table.test, "id").select("id", r4("prediction"))
+
+
+@query("wide_regression_columns")
+def wide_regression_columns(spark, folder):
+    """The same beside two further columns."""
+    table = by_balance(spark, folder)
+    columns = ["amount", "status", "mo_sold"]
+    fit = sparse.ridge_one_hot(table.train, columns, "target", "id", 0.001)
+    return fit.predict(table.test, "id")
+
+
 # --- stacking
 
 LINES = {"on_quantity": "sum_qty", "on_balance": "acctbal"}

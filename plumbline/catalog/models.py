@@ -14,7 +14,7 @@ from plumbline.operators import encode, joins, metrics, missing, numeric
 from plumbline.operators import quality as qual
 from plumbline.operators import sampling as split
 from plumbline.operators.columns import retain_columns
-from plumbline.plans import models, outliers, scorestats, search
+from plumbline.plans import influence, models, outliers, scorestats, search
 from plumbline.plans.gram import elastic_net, fold_grams, lasso, ols, ridge
 from plumbline.plans.storage import checkpoint_dir, materialize
 from plumbline.sources import io
@@ -591,27 +591,32 @@ def loo_influence(spark, folder):
     return out.select("id", r4("score"))
 
 
-@query(
-    "loo_influence_line",
-    on_signal(
-        """SELECT id, round(avg(sqrt(greatest(kyy - 2 * a * ky - 2 * b * kxy + kn * a * a
+LEFT_OUT_SQL = """SELECT id, round(avg(sqrt(greatest(kyy - 2 * a * ky - 2 * b * kxy + kn * a * a
             + 2 * a * b * kx + b * b * kxx, 0) / kn)), 4) AS score
         FROM (SELECT *, ty / tn - b * tx / tn AS a FROM (
-          SELECT *, (txy - tx * ty / tn) / (txx - tx * tx / tn) AS b FROM (
+          SELECT *, {slope} AS b FROM (
             SELECT id, n - o * 1 AS kn, sx - o * x AS kx, sy - o * y AS ky,
               sxx - o * x * x AS kxx, sxy - o * x * y AS kxy, syy - o * y * y AS kyy,
               an - n - (1 - o) AS tn, ax - sx - (1 - o) * x AS tx, ay - sy - (1 - o) * y AS ty,
               axx - sxx - (1 - o) * x * x AS txx, axy - sxy - (1 - o) * x * y AS txy
             FROM (SELECT id, CAST(fold = k AS INT) AS o, sum_qty - mx AS x, target - my AS y, g.*,
                 all_.* FROM f, g, all_, mid))))
-        GROUP BY id""",
-        FOLDED,
-        "mid AS (SELECT avg(sum_qty) AS mx, avg(target) AS my FROM f)",
-        """g AS (SELECT fold AS k, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx,
+        GROUP BY id"""
+LEFT_OUT_CTES = (
+    FOLDED,
+    "mid AS (SELECT avg(sum_qty) AS mx, avg(target) AS my FROM f)",
+    """g AS (SELECT fold AS k, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx,
           sum(x * y) AS sxy, sum(y * y) AS syy
           FROM (SELECT fold, sum_qty - mx AS x, target - my AS y FROM f, mid) GROUP BY fold)""",
-        """all_ AS (SELECT sum(n) AS an, sum(sx) AS ax, sum(sy) AS ay, sum(sxx) AS axx,
+    """all_ AS (SELECT sum(n) AS an, sum(sx) AS ax, sum(sy) AS ay, sum(sxx) AS axx,
           sum(sxy) AS axy FROM g)""",
+)
+
+
+@query(
+    "loo_influence_line",
+    on_signal(
+        LEFT_OUT_SQL.format(slope="(txy - tx * ty / tn) / (txx - tx * tx / tn)"), *LEFT_OUT_CTES
     ),
 )
 def loo_influence_line(spark, folder):
@@ -620,14 +625,49 @@ def loo_influence_line(spark, folder):
     return out.select("id", r4("score"))
 
 
+def worst_twenty(table):
+    return joins.worst_k(line_scores(table), "id", "score", 20).select("id")
+
+
 @query("greedy_outliers")
 def greedy_outliers(spark, folder):
-    """Up to three rounds of taking out the train row that hurts the line most."""
+    """Taking out the twenty worst predicted rows one by one, as long as that helps the line."""
     table = retain_columns(signal(spark, folder), ["sum_qty"]).materialized()
-    _, history = outliers.greedy_removal(table, ["sum_qty"], split.hash_fold("id", 5), 3)
+    fold = split.hash_fold("id", 5)
+    _, history = influence.greedy_removal(table, ["sum_qty"], fold, ols(), worst_twenty(table))
     return history
 
 
+@query("greedy_outliers_lasso")
+def greedy_outliers_lasso(spark, folder):
+    """The same with a lasso on all numbers."""
+    table = numeric.zscore(signal(spark, folder).materialized(), FEATURES)
+    fold = split.hash_fold("id", 5)
+    _, history = influence.greedy_removal(table, FEATURES, fold, lasso(0.001), worst_twenty(table))
+    return history
+
+
+@query(
+    "lasso_influence_line",
+    on_signal(
+        LEFT_OUT_SQL.format(slope="""sign(txy - tx * ty / tn) * greatest(abs(txy - tx * ty / tn) - 10 * tn, 0)
+            / (txx - tx * tx / tn)"""),
+        *LEFT_OUT_CTES,
+    ),
+)
+def lasso_influence_line(spark, folder):
+    """Cross-validated score of the lasso on quantity with each train row left out in turn."""
+    out = influence.row_influence(signal(spark, folder), ["sum_qty"], split.hash_fold("id", 5), lasso(10.0))
+    return out.select("id", r4("score"))
+
+
+@query("lasso_influence")
+def lasso_influence(spark, folder):
+    """The same on all numbers, and how many fits change their columns without the row."""
+    table = numeric.zscore(signal(spark, folder).materialized(), FEATURES)
+    return influence.row_influence(table, FEATURES, split.hash_fold("id", 5), lasso(0.001))
+
+
 ERROR_LINE = """el AS (SELECT regr_slope(score, n_lines) AS eb,
   regr_intercept(score, n_lines) AS ea FROM sc)"""
 
