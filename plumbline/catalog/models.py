@@ -798,7 +798,7 @@ NEIGHBORS = """nb AS (SELECT p.id AS probe_id, t.id AS neighbor_id, t.target AS
 
 
 def worst_neighbors(spark, folder):
-    table = signal(spark, folder)
+    table = signal(spark, folder).materialized()
     scored = line_scores(table).select("id", "sum_qty", "acctbal", "target", "predicted", "score")
     worst = materialize(joins.worst_k(scored, "id", "score", 20))
     near = joins.nearest_neighbors(
@@ -824,6 +824,25 @@ def knn(spark, folder):
     return near.select("probe_id", "rank", "neighbor_id", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "knn_test_rows",
+    on_signal(
+        """SELECT t.id AS probe_id, n.id AS neighbor_id, round(sqrt(pow(t.sum_qty - n.sum_qty, 2)
+          + pow(0.01 * t.acctbal - 0.01 * n.acctbal, 2)), 6) AS distance
+        FROM sig t, LATERAL (SELECT id, sum_qty, acctbal FROM tr
+          ORDER BY sqrt(pow(t.sum_qty - tr.sum_qty, 2) + pow(0.01 * t.acctbal - 0.01 * tr.acctbal, 2)), id
+          LIMIT 1) n WHERE t.split = 'test'"""
+    ),
+)
+def knn_test_rows(spark, folder):
+    """The nearest train row of every test row."""
+    table = signal(spark, folder).materialized()
+    near = joins.nearest_neighbors(
+        table.test, table.train, "id", ["sum_qty", "acctbal"], k=1, weights=[1.0, 0.01], exclude_self=False
+    )
+    return near.select("probe_id", "neighbor_id", F.round("distance", 6).alias("distance"))
+
+
 @query(
     "knn_predict",
     on_signal(

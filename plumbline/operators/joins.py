@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.plans import boxes
 from plumbline.plans.prefix import positions
-from plumbline.plans.storage import SMALL_ROWS, lookup_join, materialize
+from plumbline.plans.storage import SMALL_ROWS, at_most, lookup_join, materialize
 
 
 def complete_range(
@@ -36,8 +37,9 @@ def nearest_neighbors(
     weights: Sequence[float] | None = None,
     exclude_self: bool = True,
     split: str | None = None,
-    block_rows: int = 4_096,
-    chunk_rows: int = 65_536,
+    block_rows: int = boxes.PROBE_ROWS,
+    chunk_rows: int = boxes.BOX_ROWS,
+    few: int = boxes.FEW,
 ) -> DataFrame:
     """(probe_id, rank, neighbor_id, distance) of the k nearest train rows of each probe.
 
@@ -45,52 +47,21 @@ def nearest_neighbors(
     and the result starts with ``probe_split``.  Probes that share a key are searched for one by
     one.  Rows with a null feature take no part.  Equal distances are ordered by id.
 
-    Blocks of probes meet chunks of train rows, each of a bounded size, in tasks of their own; the
-    shuffle to the ranking carries chunks x k rows a probe.
+    Up to ``few`` probes (or ``block_rows``, if fewer) go along with one scan of the train rows; more
+    of them meet only the bounding boxes that can hold a neighbour, in pieces of ``block_rows``
+    probes and ``chunk_rows`` train rows.  The results are the same.
     """
-    features, keys = list(features), [split, id] if split else [id]
-    scale = [float(w) for w in weights] if weights is not None else [1.0] * len(features)
-    narrow = train.select(*keys, *features).dropna(subset=features)
+    keys = [split, id] if split else [id]
+    search = boxes.Search(id, split, features, weights, k, exclude_self)
+    narrow = train.select(*keys, *features).dropna(subset=list(features))
     # written, so that the numbers that tell equal keys apart stay the same
-    todo = probes.select(*keys, *features).dropna(subset=features)
+    todo = probes.select(*keys, *features).dropna(subset=list(features))
     todo = materialize(todo.withColumn("__probe", F.monotonically_increasing_id()))
-    blocks = max(1, -(-todo.count() // block_rows))
-    chunks = max(1, -(-narrow.count() // chunk_rows))
-    place = F.xxhash64(*keys, *features)
-    left = narrow.withColumn("__chunk", F.pmod(place, F.lit(chunks))).withColumn(
-        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = todo.withColumn("__block", F.pmod(F.xxhash64("__probe"), F.lit(blocks)).cast("int")).withColumn(
-        "__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")))
-    )
-    group = ["__block", "__chunk"]
-
-    def best(rows, asked):
-        import numpy as np
-        import pandas as pd
-
-        x = rows[features].to_numpy(dtype=float) * np.array(scale)
-        ids = rows[id].to_numpy()
-        found = []
-        for r, p in zip(asked.itertuples(), asked[features].to_numpy(dtype=float) * np.array(scale)):
-            dist = np.sqrt(((x - p) ** 2).sum(axis=1))
-            usable = np.isfinite(dist)
-            if exclude_self:
-                same = ids == asked.at[r.Index, id]
-                if split:
-                    same &= (rows[split] == asked.at[r.Index, split]).to_numpy()
-                usable &= ~same
-            at = np.flatnonzero(usable)
-            at = at[np.lexsort((ids[at], dist[at]))[:k]]
-            found.append(pd.DataFrame({
-                "__probe": asked.at[r.Index, "__probe"], "neighbor_id": ids[at], "distance": dist[at],
-            }))
-        columns = ["__probe", "neighbor_id", "distance"]
-        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
-
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
-        best, "__probe bigint, neighbor_id bigint, distance double"
-    )
+    if at_most(todo, min(few, block_rows)):
+        found = boxes.by_scan(search, narrow, todo.toPandas())
+    else:
+        narrow = materialize(narrow)
+        found = boxes.by_boxes(search, narrow, todo, narrow.count(), chunk_rows, block_rows)
     rank = F.row_number().over(W.partitionBy("__probe").orderBy("distance", "neighbor_id"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
     named = todo.select("__probe", *[F.col(c).alias(f"probe_{n}") for c, n in zip(keys[::-1], ("id", "split"))])

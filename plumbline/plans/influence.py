@@ -2,8 +2,8 @@
 
 A fit without one row changes its cross products by a rank-one term.  As long as the set of
 coefficients that are not zero, and their signs, stay the same, the new coefficients are a rank-one
-update of the old ones.  Whether they do is read off the optimality conditions; only where they do
-not is that row's fit solved again, from its own downdated cross products.  All rows are scored in
+update of the old ones.  Whether they do is read off the optimality conditions; where they do not, those name the columns to try, and
+what no try settles is solved from the row's own downdated cross products.  All rows are scored in
 one scan, and no row reaches the driver.
 """
 
@@ -23,6 +23,7 @@ from plumbline.plans.storage import materialize
 from plumbline.table import FeatureTable
 
 FOLD = "__fold"
+TRIES = 6  # sets of active columns a row tries before it is solved apart
 LOOSE = 1e-9  # relative rounding allowance of the optimality conditions
 
 
@@ -33,57 +34,80 @@ class Downdate:
     recipe: Linear
     moments: Moments
     coefs: np.ndarray
-    inverse: np.ndarray  # of the cross products among the active columns
 
     @classmethod
     def of(cls, recipe: Linear, moments: Moments) -> Downdate:
-        w, _, _ = recipe.solve(moments)
-        on = cls._on(recipe, w)
-        cross = moments.cross[:-1, :-1][np.ix_(on, on)]
-        cross = cross + (moments.n - 1) * recipe.l2 * np.eye(len(on))
-        return cls(recipe, moments, w, np.linalg.pinv(cross, hermitian=True, rcond=1e-11))
-
-    @staticmethod
-    def _on(recipe: Linear, w: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(w) if recipe.l1 else np.arange(len(w))
+        return cls(recipe, moments, recipe.solve(moments)[0])
 
     def without(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(coefficients, intercepts, solved again) of the fits without each of the given rows,
-        which hold the features and the target."""
-        m, l1 = self.moments, self.recipe.l1
-        n, left = m.n, m.n - 1
+        """(coefficients, intercepts, changed) of the fits without each of the given rows, which
+        hold the features and the target; ``changed`` marks those with other active columns.
+
+        Rows whose optimality conditions fail try the active columns and signs that the failed
+        conditions name, all rows with the same ones at once; what is left then is solved apart.
+        """
+        m = self.moments
         u = rows - m.mean
-        on = self._on(self.recipe, self.coefs)
-        sign = np.sign(self.coefs[on])
-        grow = n / left
+        width = len(self.coefs)
+        first = np.sign(self.coefs).astype(np.int8) if self.recipe.l1 else np.ones(width, np.int8)
+        signs = np.tile(first, (len(rows), 1))
+        w = np.zeros((len(rows), width))
+        todo = np.arange(len(rows))
+        for _ in range(TRIES):
+            kinds, kind = np.unique(signs[todo], axis=0, return_inverse=True)
+            failed = []
+            for i, sign in enumerate(kinds):
+                own = todo[kind.ravel() == i]
+                w[own], right, signs[own] = self._update(u[own], sign)
+                failed.append(own[~right])
+            todo = np.concatenate(failed) if failed else todo
+            if not len(todo):
+                break
+        for i in todo:
+            left = m.n - 1
+            cross = m.cross - (m.n / left) * np.outer(u[i], u[i])
+            w[i] = self.recipe.solve(Moments(left, m.mean - u[i] / left, cross), self.coefs)[0]
+        mean = m.mean - u / (m.n - 1)
+        bias = mean[:, -1] - (w * mean[:, :-1]).sum(axis=1)
+        changed = (np.sign(w) != first).any(axis=1) if self.recipe.l1 else np.zeros(len(rows), bool)
+        return w, bias, changed
+
+    def _update(self, u: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(coefficients, optimal, signs to try next) without each row, by a rank-one update of the
+        solution with the given signs."""
+        m, l1 = self.moments, self.recipe.l1
+        left = m.n - 1
+        grow = m.n / left
         cross, right = m.cross[:-1, :-1], m.cross[:-1, -1]
-        w = np.zeros((len(rows), len(self.coefs)))
-        reach = u[:, on] @ self.inverse
+        on = np.flatnonzero(sign)
+        inverse = cross[np.ix_(on, on)] + left * self.recipe.l2 * np.eye(len(on))
+        inverse = np.linalg.pinv(inverse, hermitian=True, rcond=1e-11)
+        w = np.zeros((len(u), len(sign)))
+        reach = u[:, on] @ inverse
         with np.errstate(divide="ignore", invalid="ignore"):
-            plain = self.inverse @ (right[on] - left * l1 * sign) - grow * u[:, -1:] * reach
+            plain = inverse @ (right[on] - left * l1 * sign[on]) - grow * u[:, -1:] * reach
             spare = 1 - grow * (reach * u[:, on]).sum(axis=1)
             w[:, on] = plain + grow * reach * ((u[:, on] * plain).sum(axis=1) / spare)[:, None]
-            again = ~np.isfinite(w).all(axis=1) | (spare < 1e-10)
-            if l1:
-                again |= (w[:, on] * sign <= 0).any(axis=1)
-                slope = right - w @ cross - grow * u[:, :-1] * (u[:, -1] - (u[:, :-1] * w).sum(axis=1))[:, None]
-                off = np.ones(len(self.coefs), bool)
-                off[on] = False
-                again |= (np.abs(slope[:, off]) > left * l1 * (1 + LOOSE)).any(axis=1)
-        for i in np.flatnonzero(again):
-            own = Moments(left, m.mean - u[i] / left, m.cross - grow * np.outer(u[i], u[i]))
-            w[i] = self.recipe.solve(own, self.coefs)[0]
-        mean = m.mean - u / left
-        return w, mean[:, -1] - (w * mean[:, :-1]).sum(axis=1), again
+        fine = np.isfinite(w).all(axis=1) & (spare > 1e-10)
+        after = np.tile(sign, (len(u), 1))
+        if l1:
+            w[~fine] = 0
+            slope = right - w @ cross - grow * u[:, :-1] * (u[:, -1] - (u[:, :-1] * w).sum(axis=1))[:, None]
+            leave = (sign != 0) & (w * sign <= 0)
+            enter = (sign == 0) & (np.abs(slope) > left * l1 * (1 + LOOSE))
+            after[leave] = 0
+            after[enter] = np.sign(slope[enter])
+            fine &= ~(leave | enter).any(axis=1)
+        return w, fine, after
 
 
 def influence(rows: DataFrame, grams: Grams, id: str, recipe: Linear) -> DataFrame:
-    """(id, score, solved_again): mean over the folds of the RMSE on the fold, with that row left out
+    """(id, score, changed): mean over the folds of the RMSE on the fold, with that row left out
     of the fits and of the scores.
 
     ``rows`` holds the id, features, target and ``FOLD`` of the rows to try, each of which is among
     those behind ``grams``.  A score below that of all rows says that the row does harm.
-    ``solved_again`` counts the fits whose active columns change without the row.
+    ``changed`` counts the fits whose active columns change without the row.
     """
     if not recipe.intercept:
         raise ValueError("influence needs a model with an intercept")
@@ -96,11 +120,11 @@ def influence(rows: DataFrame, grams: Grams, id: str, recipe: Linear) -> DataFra
         for pdf in batches:
             z = pdf[names].to_numpy(dtype=float) - shift
             own = pdf[FOLD].to_numpy()
-            scores, changed = [], np.zeros(len(pdf), np.int64)
+            scores, moved = [], np.zeros(len(pdf), np.int64)
             for k, (fit, g) in fits.items():
                 mine = own == k
-                w, bias, again = fit.without(z)
-                whole = fit.recipe.solve(fit.moments)[0]
+                w, bias, changed = fit.without(z)
+                whole = fit.coefs
                 w[mine] = whole
                 bias[mine] = fit.moments.mean[-1] - whole @ fit.moments.mean[:-1]
                 v = np.column_stack([-bias, -w, np.ones(len(z))])
@@ -108,10 +132,10 @@ def influence(rows: DataFrame, grams: Grams, id: str, recipe: Linear) -> DataFra
                 error = z[:, -1] - bias - (w * z[:, :-1]).sum(axis=1)
                 sse, n = np.where(mine, sse - error * error, sse), np.where(mine, g[0, 0] - 1, g[0, 0])
                 scores.append(np.sqrt(np.maximum(sse, 0) / n))
-                changed += again & ~mine
-            yield pd.DataFrame({id: pdf[id], "score": np.mean(scores, axis=0), "solved_again": changed})
+                moved += changed & ~mine
+            yield pd.DataFrame({id: pdf[id], "score": np.mean(scores, axis=0), "changed": moved})
 
-    return rows.mapInPandas(run, f"`{id}` {kind}, score double, solved_again long")
+    return rows.mapInPandas(run, f"`{id}` {kind}, score double, changed long")
 
 
 def complete_rows(table: FeatureTable, features, fold: Column) -> DataFrame:
@@ -122,7 +146,7 @@ def complete_rows(table: FeatureTable, features, fold: Column) -> DataFrame:
 
 
 def row_influence(table: FeatureTable, features, fold: Column, recipe: Linear) -> DataFrame:
-    """(id, score, solved_again) of every train row."""
+    """(id, score, changed) of every train row."""
     rows = complete_rows(table, features, fold)
     grams = fold_grams(rows, features, table.spec.target, F.col(FOLD))
     return influence(rows, grams, table.spec.id, recipe)
