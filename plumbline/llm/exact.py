@@ -41,7 +41,7 @@ def exact_groups(
     """
     tables = Tables(docs.sparkSession)
     rows = _rows(tables, docs, id_column, text_column, hash_bits)
-    best = F.max_by(F.col("id"), F.struct("n", F.col("id").isNotNull(), -F.col("id")))
+    best = F.max_by(F.col("id"), F.struct("n", F.col("id").isNotNull(), F.bitwise_not("id")))
     groups = rows.groupBy("list", "recipe").agg(best.alias("keep_id"), F.count("*").alias("size"))
     groups = tables.store(groups)  # so that both sides are shuffled and a hot group can be split
     out = rows.join(groups, ["list", "recipe"])
@@ -122,7 +122,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     tables = Tables(docs.sparkSession)
     rows = _rows(tables, docs, "doc_id", "text", own=True)
     copies = rows.groupBy("list", "recipe", "id", "n", "own").agg(F.count("*").alias("copies"))
-    order = F.struct("n", F.col("id").isNotNull(), -F.col("id"), "own")
+    order = F.struct("n", F.col("id").isNotNull(), F.bitwise_not("id"), "own")
     best = copies.groupBy("list", "recipe").agg(F.max_by(F.struct("id", "own", "copies"), order).alias("b"))
     best = tables.store(best.select("b.*"), (F.col("copies") > 1).cast("long"))
     tables.drop(rows)

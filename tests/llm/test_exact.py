@@ -78,3 +78,12 @@ def test_chunks_cover_the_text_and_follow_its_content():
 def test_native_plan(small):
     plan = exact_groups(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_smallest_and_largest_ids(spark):
+    least, most = -(2**63), 2**63 - 1
+    rows = [(least, "a b"), (most, "ab"), (0, "a b"), (None, "a b"), (most, "c"), (least, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, exact_groups(docs).collect()), key=str)
+    assert got == expected(rows)
+    assert sorted(r.doc_id for r in exact_dedup(docs).collect()) == [least, least, most]
