@@ -10,25 +10,24 @@ MEMORY_BYTES = 128 << 20  # of pieces and ids in each of the two generations
 ENTRY_BYTES = 250  # what a piece takes in a dictionary, its characters and ids included
 
 
-class Encoder(packing.Encoder):
-    """Ids as little-endian 32-bit bytes; distinct pieces are encoded once while remembered.
+class Memory:
+    """Ids of the pieces that follow a blank, or of those that do not, as 32-bit words.
 
     Pieces live in two generations: those asked for move to the young one, and when that is full
     the old one is forgotten.  Frequent pieces therefore stay, whatever passes by.
     """
 
-    def __init__(self, path: str, memory: int = MEMORY_BYTES):
-        super().__init__(path)
+    def __init__(self, model, before: str, most: int):
+        self.model, self.before, self.most = model, before, max(1, most)
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.most = max(1, memory // ENTRY_BYTES)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [self.pieces(t) for t in texts]
-        wanted = set().union(*lists).difference(self.known)
-        if len(self.known) + len(wanted) > self.most:
-            self.old, self.known = self.known, {}
-            wanted = set().union(*lists)
-        young, old = self.known, self.old
+    def learn(self, asked: set[str]) -> dict[str, bytes]:
+        """Ids by piece, of all pieces asked for at least."""
+        wanted = asked.difference(self.young)
+        if len(self.young) + len(wanted) > self.most:
+            self.old, self.young, wanted = self.young, {}, asked
+        young, old = self.young, self.old
         new = []
         for piece in wanted:
             code = old.get(piece)
@@ -36,9 +35,30 @@ class Encoder(packing.Encoder):
                 new.append(piece)
             else:
                 young[piece] = code
-        for piece, coded in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            young[piece] = array("I", coded.ids).tobytes()
-        return [b"".join(map(young.__getitem__, x)) for x in lists]
+        coded = self.model.encode_batch_fast([self.before + p for p in new], add_special_tokens=False)
+        for piece, code in zip(new, coded, strict=True):
+            young[piece] = array("I", code.ids).tobytes()
+        return young
+
+
+class Encoder(packing.Encoder):
+    """Ids of whole texts as 32-bit words; distinct pieces are encoded once while remembered."""
+
+    def __init__(self, path: str, memory: int = MEMORY_BYTES):
+        super().__init__(path)
+        self.heads = Memory(self.model, "", memory // ENTRY_BYTES // 8)
+        self.tails = Memory(self.model, " ", memory // ENTRY_BYTES)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # a piece is known by what follows its blank, so no piece is put together for a lookup
+        lists = [packing._CUT.split(t) if packing._ODD.search(t) else t.split(" ") for t in texts]
+        firsts = [x.pop(0) for x in lists]
+        heads = self.heads.learn(set(firsts))
+        tails = self.tails.learn(set().union(*lists))
+        return [
+            heads[first] + b"".join(map(tails.__getitem__, rest))
+            for first, rest in zip(firsts, lists, strict=True)
+        ]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from plumbline.llm import bestfit, registry
-from plumbline.llm.tokens import Encoder
+from plumbline.llm.tokens import Encoder, encoder
 
 
 def by_hand(sizes, window):
@@ -137,3 +139,13 @@ def test_encoder_forgets_without_harm(small):
     got = [code for t in texts for code in tiny.encode([t])]
     plain = Encoder(path).model
     assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@given(st.lists(st.text(st.one_of(st.sampled_from("ab'st re1.,\n\t\x0b\x1c-<|>"), st.characters(codec="utf-8")))))
+@settings(max_examples=300, deadline=None)
+def test_encoder_gives_the_tokenizers_ids(texts):
+    path = registry.tokenizer(registry.BYTE_BPE)
+    own = encoder(path)
+    texts = [*texts, "it's we're  <|endoftext|>x, 'tis\n\n end ", " a  b\r\n'll"]
+    want = [np.array(own.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode(texts) == want
