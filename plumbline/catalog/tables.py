@@ -538,34 +538,33 @@ def column_shapes(spark, folder):
 @query(
     "column_difference",
     on_sales(
-        """SELECT 'only_left' AS side, 'segment' AS column_name WHERE EXISTS (FROM sales)
-        UNION ALL SELECT 'only_right', 'flag' WHERE EXISTS (FROM sales)"""
+        """SELECT CASE WHEN n > 0 THEN 'only_left' ELSE 'only_right' END AS side, column_name, value,
+        CAST(abs(n) AS BIGINT) AS n FROM (
+          SELECT column_name, value, sum(sign) AS n FROM (
+            SELECT 'status' AS column_name, status AS value, 1 AS sign FROM sales
+            UNION ALL SELECT 'segment', segment, 1 FROM sales
+            UNION ALL SELECT 'status', status, -1 FROM sales WHERE split = 'train'
+            UNION ALL SELECT 'flag', flag, -1 FROM sales WHERE split = 'train')
+          GROUP BY column_name, value) WHERE n <> 0"""
     ),
 )
 def column_difference(spark, folder):
-    """Columns that only one of two tables has."""
-    left = sales(spark, folder, ("status", "segment")).df
-    right = sales(spark, folder, ("status", "flag")).df
-    found = cols.column_difference(left, right)
-    rows = [(side, c) for side, names in found.items() for c in names]
-    some = not left.isEmpty()
-    return spark.createDataFrame(rows if some else [], "side string, column_name string")
+    """Cells of two tables that differ in columns and rows, counted per side, column and value."""
+    left = sales(spark, folder, ("status", "segment")).df.select("status", "segment")
+    right = sales(spark, folder, ("status", "flag")).train.select("status", "flag")
+    out = cols.cell_difference(left, right)
+    return out.select("side", F.col("column").alias("column_name"), "value", "n")
 
 
 @query(
     "incomplete_rows",
     on_sales(
-        """SELECT split, count(*) AS n_rows, max(bad) AS any_missing, 0 AS any_nan FROM (
-          SELECT split, CAST(n_lines IS NULL OR sum_qty IS NULL AS INT) AS bad FROM sales)
-        WHERE bad = 1 GROUP BY split"""
+        """SELECT split, count(*) AS n_rows, count_if(n_lines IS NULL OR sum_qty IS NULL OR acctbal IS NULL)
+        AS n_incomplete, count_if(acctbal < 0) AS n_nan FROM sales GROUP BY split"""
     ),
 )
 def incomplete_rows(spark, folder):
-    """Rows with a missing feature, by split, and whether any number is NaN."""
-    table = sales(spark, folder, ("n_lines", "sum_qty"))
-    whole = table.df.count()
-    bad = qual.sanity_rows(table, show=whole)
-    nan = int(qual.has_nan(table))
-    return bad.groupBy("split").agg(
-        F.count("*").alias("n_rows"), F.lit(1).alias("any_missing"), F.lit(nan).alias("any_nan")
-    )
+    """Rows, rows with a missing feature and rows with a NaN, by split; negative balances are made NaN."""
+    table = sales(spark, folder, ("n_lines", "sum_qty", "acctbal"))
+    lost = F.when(F.col("acctbal") < 0, F.lit(float("nan"))).otherwise(F.col("acctbal"))
+    return qual.sanity_counts(table.with_columns({"acctbal": lost}))

@@ -200,3 +200,23 @@ def levels_union(table: FeatureTable, columns: Sequence[str]) -> DataFrame:
 def column_difference(left: DataFrame, right: DataFrame) -> dict[str, list[str]]:
     a, b = set(left.columns), set(right.columns)
     return {"only_left": sorted(a - b), "only_right": sorted(b - a)}
+
+
+def cell_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, column, type, value, n) of cells that one table has more often than the other.
+
+    Values are compared as text within a column name and type; nulls are equal.  Both tables are
+    counted in one shuffle, of one row per task and distinct cell.
+    """
+
+    def cells(df: DataFrame, sign: int) -> DataFrame:
+        parts = [
+            F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"`{c}`").cast("string").alias("value"))
+            for c, t in df.dtypes
+        ]
+        return df.select(F.inline(F.array(*parts)), F.lit(sign).cast("bigint").alias("n"))
+
+    both = cells(left, 1).unionAll(cells(right, -1)).groupBy("column", "type", "value")
+    net = both.agg(F.sum("n").alias("n")).where("n <> 0")
+    side = F.when(F.col("n") > 0, "only_left").otherwise("only_right")
+    return net.select(side.alias("side"), "column", "type", "value", F.abs("n").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -146,12 +146,29 @@ def has_nan(table: FeatureTable) -> bool:
     return bool(table.df.agg(found).first()[0])
 
 
-def sanity_rows(table: FeatureTable, show: int = 5) -> DataFrame:
-    """A few rows with a null feature, or train rows with a null target."""
+def incomplete(table: FeatureTable) -> Column:
+    """Whether a row has a null feature, or is a train row with a null target."""
     bad = _is_train(table) & F.col(table.spec.target).isNull()
     for c in table.features:
         bad = bad | F.col(c).isNull()
-    return table.df.where(bad).limit(show)
+    return bad
+
+
+def sanity_counts(table: FeatureTable) -> DataFrame:
+    """Per split: rows, incomplete rows, and rows with a NaN among their numbers, in one aggregate."""
+    nan = F.lit(False)
+    for c in table.numeric:
+        nan = nan | F.coalesce(F.isnan(c), F.lit(False))
+    return table.df.groupBy(table.spec.split).agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(incomplete(table)).alias("n_incomplete"),
+        F.count_if(nan).alias("n_nan"),
+    )
+
+
+def sanity_rows(table: FeatureTable, show: int = 5) -> DataFrame:
+    """A few rows with a null feature, or train rows with a null target."""
+    return table.df.where(incomplete(table)).limit(show)
 
 
 def unseen_categories(table: FeatureTable, columns: Sequence[str] | None = None) -> DataFrame:
