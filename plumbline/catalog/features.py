@@ -13,8 +13,9 @@ from plumbline.operators import derive as d
 from plumbline.operators import encode, missing, numeric
 from plumbline.operators import sampling as split
 from plumbline.sources import io
-from plumbline.sources.tables import read, sales
-from plumbline.spec import ColumnSpec
+from plumbline.sources.tables import key_split, read, sales
+from plumbline.spec import CATEGORICAL, ColumnSpec, SchemaSpec
+from plumbline.table import FeatureTable
 
 # --- missing values and repairs
 
@@ -525,6 +526,48 @@ def label_encode(spark, folder):
     return out.df.select("id", "priority", "status")
 
 
+ORDERS_SQL = """WITH sales AS (SELECT o_orderkey AS id, o_totalprice AS target,
+  CAST(o_custkey AS VARCHAR) AS customer,
+  CASE WHEN o_orderkey % 5 < 4 THEN 'train' ELSE 'test' END AS split FROM orders)
+"""
+
+
+def customer_orders(spark, folder) -> FeatureTable:
+    """Orders with the customer as a category of undeclared, many levels."""
+    df = read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_totalprice").alias("target"),
+        F.col("o_custkey").cast("string").alias("customer"),
+        key_split().alias("split"),
+    )
+    return FeatureTable(df, SchemaSpec("id", "target", {"customer": ColumnSpec(CATEGORICAL)}))
+
+
+@query(
+    "label_encode_many",
+    ORDERS_SQL
+    + """SELECT id, CAST(dense_rank() OVER (ORDER BY customer) - 1 AS DOUBLE) AS customer
+    FROM sales""",
+)
+def label_encode_many(spark, folder):
+    """Codes of a category with one level a customer, ranked and joined as a table."""
+    return encode.label_encode(customer_orders(spark, folder)).df.select("id", "customer")
+
+
+@query(
+    "target_mean_many",
+    ORDERS_SQL
+    + """SELECT s.id, round(coalesce(t.m, g.m), 2) AS customer FROM sales s
+    LEFT JOIN (SELECT customer, avg(target) AS m FROM sales WHERE split = 'train' GROUP BY customer) t
+      ON s.customer = t.customer,
+    (SELECT avg(target) AS m FROM sales WHERE split = 'train') g""",
+)
+def target_mean_many(spark, folder):
+    """Target mean of a category with one level a customer, joined as a table."""
+    out = encode.target_stats_all(customer_orders(spark, folder))
+    return out.df.select("id", F.round("customer", 2).alias("customer"))
+
+
 def target_sql(column: str, aggregate: str) -> str:
     return on_sales(
         f"""SELECT s.id, round(coalesce(t.m, g.m), 4) AS {column} FROM sales s

@@ -920,7 +920,7 @@ def forward_select(spark, folder):
     encoded = search.encode_variants(table, variants, split.hash_fold("id", 8))
     history = search.forward_select(
         search.unused_columns(list(encoded.columns)),
-        lambda sets: [encoded.score(vs, lasso(0.0005)) for vs in sets],
+        lambda sets: encoded.scores(sets, lasso(0.0005)),
     )
     first = search.winners(history, improved_only=False)
     rows = [

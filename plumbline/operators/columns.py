@@ -119,16 +119,17 @@ def explode_types(table: FeatureTable) -> FeatureTable:
     """Add the alternative reading of columns that may be read both ways.
 
     Possibly categorical numbers get a text copy; possibly numeric or ordered categories get a
-    number copy, by cast or by position among the declared levels.
+    number copy, by cast or by position among the declared levels.  A text copy declares its levels
+    if they are few.
     """
     # imported here: the encoders build on this module
-    from plumbline.operators.encode import infer_levels, ordinal_code
+    from plumbline.operators.encode import declared_levels, ordinal_code
 
     spec, new = table.spec, {}
     as_text = [c for c in table.numeric if spec[c].possibly_categorical]
     copies = {f"{c}_categorical": F.col(c).cast("string") for c in as_text}
     out = table.with_columns(copies) if copies else table
-    levels = infer_levels(out, list(copies))
+    levels = declared_levels(out, list(copies))
     for name in copies:
         spec = spec.with_column(name, ColumnSpec(CATEGORICAL, levels[name]))
     for c in table.categorical:

@@ -10,15 +10,12 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import long_form
+from plumbline.plans.dictionary import LITERAL_LEVELS, dictionary, wider_than, with_codes
 from plumbline.plans.quantiles import column_quantiles, group_quantiles
-from plumbline.plans.storage import SMALL_ROWS, lookup_join
+from plumbline.plans.storage import BROADCAST_ROWS, SMALL_ROWS, lookup_join, materialize
 from plumbline.spec import CATEGORICAL, ColumnSpec, safe_name
 from plumbline.table import TRAIN, FeatureTable
 
-# more entries than this are joined as a table, not written into the plan; the result is the same
-LITERAL_LEVELS = 1_000
-
-
 # --- levels
 
 
@@ -36,10 +33,28 @@ def infer_levels(table: FeatureTable, columns: Sequence[str]) -> dict[str, tuple
     return {c: tuple(sorted(v)) for c, v in found.items()}
 
 
+def declared_levels(
+    table: FeatureTable, columns: Sequence[str], limit: int = LITERAL_LEVELS
+) -> dict[str, tuple[str, ...]]:
+    """Sorted distinct values of the columns that have at most ``limit``; none for the others.
+
+    A column without declared levels takes its codes from a joined table (``label_encode``).
+    """
+    if not columns:
+        return {}
+    levels = dictionary(table.df, columns)
+    wide = wider_than(levels, limit)
+    few = [c for c in columns if c not in wide]
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for r in levels.where(F.col("column").isin(few)).collect():
+        found[r["column"]].append(r["level"])
+    return {c: tuple(sorted(v)) for c, v in found.items()}
+
+
 def to_categorical(table: FeatureTable, column: str, levels: Sequence[str] | None = None):
-    """Cast a number to text and declare its levels, by default those found in the data."""
+    """Cast a number to text and declare its levels, by default those found in the data, if few."""
     out = table.with_columns({column: F.col(column).cast("string")})
-    levels = tuple(levels) if levels is not None else infer_levels(out, [column])[column]
+    levels = tuple(levels) if levels is not None else declared_levels(out, [column])[column]
     return replace(out, spec=table.spec.with_column(column, ColumnSpec(CATEGORICAL, levels)))
 
 
@@ -94,11 +109,18 @@ def label_encode(
 ) -> FeatureTable | None:
     """Replace categories by their position among the declared levels.
 
-    Values outside the levels, null included, are an error or become null.  None if a column
-    has a single code over the train rows.
+    The levels of a column that declares none are its values in both splits, in text order; they
+    are ranked and joined as a table, however many.  Values outside the levels, null included, are
+    an error or become null.  None if a column has a single code over the train rows.
     """
     columns = list(columns if columns is not None else table.categorical)
-    codes = {c: ordinal_code(F.col(c), table.spec[c].categories) for c in columns}
+    open_ = [c for c in columns if not table.spec[c].categories]
+    if open_:
+        table = table.with_df(materialize(with_codes(table.df, open_, dictionary(table.df, open_))))
+    codes = {
+        c: F.col(f"__code_{c}") if c in open_ else ordinal_code(F.col(c), table.spec[c].categories)
+        for c in columns
+    }
     is_train = F.col(table.spec.split) == TRAIN
     facts = table.df.agg(
         *[F.count_if(e.isNull()).alias(f"bad_{c}") for c, e in codes.items()],
@@ -110,7 +132,8 @@ def label_encode(
         raise ValueError(f"values outside the declared levels: {wrong}")
     if any(facts[f"hi_{c}"] == facts[f"lo_{c}"] for c in columns):
         return None
-    return table.with_numeric(codes)
+    out = table.with_numeric(codes)
+    return out.with_df(out.df.drop(*[f"__code_{c}" for c in open_]))
 
 
 # --- statistics of the target
@@ -217,28 +240,46 @@ def target_stats_all(
         default = table.train.agg(F.avg(t)).first()[0]
     else:
         default = column_quantiles(table.train, {t: [0.5]}, small)[t][0]
-    stats = category_stats(table, columns, small)
-    limit = LITERAL_LEVELS * len(columns)
-    found = stats.limit(limit + 1).collect()
-    if len(found) <= limit:
-        new = {c: stat_lookup(found, c, stat, default) for c in columns}
-        return table.with_numeric(new)
-    out = table
-    for c in columns:
-        one = stats.where(F.col("column") == c).select(
-            F.col("value").alias(c), F.col(stat).alias("__stat")
-        )
-        out = _with_stats(out, c, one, default, keep=False)
-    return out
+    joined, stats = stat_columns(table, columns, small)
+    new = {c: F.coalesce(stats[c, stat], F.lit(default)) for c in columns}
+    out = joined.with_numeric(new)
+    return out.with_df(out.df.select(*table.df.columns))
 
 
-def stat_lookup(stats: Sequence[Row], column: str, stat: str, default: float) -> Column:
+def stat_columns(
+    table: FeatureTable, columns: Sequence[str], small: int = SMALL_ROWS
+) -> tuple[FeatureTable, dict[tuple[str, str], Column]]:
+    """A table and, by (column, mean or median), the statistic of each row's category.
+
+    The statistics are written once.  Those of columns with few categories become part of the
+    expressions; the others stay in the table and are joined as columns of the table returned.
+    Categories without train rows have null.
+    """
+    stats = materialize(category_stats(table, columns, small))
+    sizes = {r["column"]: r["count"] for r in stats.groupBy("column").count().collect()}
+    few = [c for c in columns if sizes.get(c, 0) <= LITERAL_LEVELS]
+    found = stats.where(F.col("column").isin(few)).collect()
+    made = {(c, k): stat_lookup(found, c, k, None) for c in few for k in ("mean", "median")}
+    df = table.df
+    for c in columns:
+        if c not in few:
+            names = {k: f"__{k}_{c}" for k in ("mean", "median")}
+            own = stats.where(F.col("column") == c).select(
+                F.col("value").alias("__key"), *[F.col(k).alias(n) for k, n in names.items()]
+            )
+            own = F.broadcast(own) if sizes[c] <= BROADCAST_ROWS else own
+            df = df.join(own, F.col(c) == F.col("__key"), "left").drop("__key")
+            made |= {(c, k): F.col(n) for k, n in names.items()}
+    return table.with_df(df), made
+
+
+def stat_lookup(stats: Sequence[Row], column: str, stat: str, default: float | None) -> Column:
     """The category's statistic from collected (column, value, mean, median) rows."""
     pairs = [x for r in stats if r["column"] == column for x in (r["value"], r[stat])]
     if not pairs:
-        return F.lit(default)
+        return F.lit(default).cast("double")
     value = F.try_element_at(F.create_map(*map(F.lit, pairs)), F.col(column))
-    return F.coalesce(value, F.lit(default))
+    return value if default is None else F.coalesce(value, F.lit(default))
 
 
 def target_moments(

@@ -6,10 +6,11 @@ products of every encoded column, and each candidate set is scored from a block
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +131,37 @@ class Encoded:
         cols = [c for v in variants for c in self.columns[v]]
         return scaled(self.grams.subset(cols)).cv_rmse(recipe)
 
+    def scores(self, sets: Sequence[Sequence[Variant]], recipe: Linear) -> list[float]:
+        """``score`` of many variant lists, fitted in tasks.
+
+        The candidates are a table and the cross products go along as a broadcast: folds x width^2
+        numbers, whatever the rows.  Fits are those of ``score``; they do
+        not start from each other's coefficients, so the order of candidates changes nothing.
+        """
+        sets = [list(vs) for vs in sets]
+        columns = [[c for v in vs for c in self.columns.get(v, ())] for vs in sets]
+        out = [FAIL_SCORE] * len(sets)
+        known = [i for i, vs in enumerate(sets) if all(v in self.columns for v in vs)]
+        if not known:
+            return out
+        spark = self.table.df.sparkSession
+        held = spark.sparkContext.broadcast(self.grams)
+
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                found = [
+                    scaled(held.value.subset(list(c))).cv_rmse(recipe) for c in part["columns"]
+                ]
+                yield pd.DataFrame({"ordinal": part["ordinal"], "score": found})
+
+        tasks = min(len(known), spark.sparkContext.defaultParallelism)
+        rows = [(i, columns[i]) for i in known]
+        asked = spark.createDataFrame(rows, "ordinal int, columns array<string>").repartition(tasks)
+        for r in asked.mapInPandas(fit, "ordinal int, score double").collect():
+            out[r["ordinal"]] = r["score"]
+        held.destroy()
+        return out
+
     def commit(self, variants: Sequence[Variant]) -> FeatureTable:
         """The table with only the encoded columns of the accepted variants."""
         return retain_columns(self.table, [c for v in variants for c in self.columns[v]])
@@ -211,14 +243,18 @@ def _codes(table, variants, small):
 
 
 def _statistics(table, variants, small):
+    """Also gives the table, to which statistics of columns with many categories are joined."""
     y = table.spec.target
-    columns = sorted({v.column for v in variants})
-    stats = encode.category_stats(table, columns, small).collect()
+    joined, stats = encode.stat_columns(table, sorted({v.column for v in variants}), small)
     defaults = {
         "target_mean": ("mean", table.train.agg(F.avg(y)).first()[0]),
         "target_median": ("median", numeric.column_quantiles(table.train, {y: [0.5]}, small)[y][0]),
     }
-    return {v: {"": encode.stat_lookup(stats, v.column, *defaults[v.technique])} for v in variants}
+    made = {}
+    for v in variants:
+        stat, default = defaults[v.technique]
+        made[v] = {"": F.coalesce(stats[v.column, stat], F.lit(default))}
+    return joined, made
 
 
 TECHNIQUES: dict[str, Callable] = {
@@ -233,33 +269,52 @@ TECHNIQUES: dict[str, Callable] = {
 }
 
 
-def variant_columns(
+def variant_table(
     table: FeatureTable, variants: Sequence[Variant], small: int = SMALL_ROWS
-) -> dict[Variant, dict[str, Column]]:
-    """The encoded columns of every applicable variant, as expressions on the source columns.
+) -> tuple[FeatureTable, dict[Variant, dict[str, Column]]]:
+    """The encoded columns of every applicable variant, as expressions on the table returned.
 
     Constants are learned per family of techniques for all columns together, so the number of
-    passes does not grow with the number of columns.
+    passes does not grow with the number of columns.  The table is the given one, beside which
+    statistics of columns with many categories are joined.
     """
     families: dict[Callable, list[Variant]] = {}
     for v in variants:
         families.setdefault(TECHNIQUES[v.technique], []).append(v)
-    made = {}
+    made, out = {}, table
     for family, members in families.items():
-        made |= family(table, members, small)
-    return {
+        found = family(table, members, small)
+        if family is _statistics:
+            out, found = found
+        made |= found
+    return out, {
         v: {safe_name(f"{v.name}_{x}") if x else v.name: e for x, e in made[v].items()}
         for v in variants
         if v in made
     }
 
 
+def variant_columns(
+    table: FeatureTable, variants: Sequence[Variant], small: int = SMALL_ROWS
+) -> dict[Variant, dict[str, Column]]:
+    """``variant_table`` for columns of few categories: expressions on the given table."""
+    out, made = variant_table(table, variants, small)
+    if out.df.columns != table.df.columns:
+        raise ValueError("statistics of columns with many categories are joined: use variant_table")
+    return made
+
+
 def apply_variant(
     table: FeatureTable, variant: Variant, small: int = SMALL_ROWS
 ) -> tuple[FeatureTable, list[str]] | None:
     """The table with the variant's columns added, and their names; None if it does not apply."""
-    made = variant_columns(table, [variant], small).get(variant)
-    return (table.with_numeric(made), list(made)) if made else None
+    joined, found = variant_table(table, [variant], small)
+    made = found.get(variant)
+    if not made:
+        return None
+    out = joined.with_numeric(made)
+    extra = set(joined.df.columns) - set(table.df.columns) - set(made)
+    return out.with_df(out.df.drop(*extra)), list(made)
 
 
 def encode_variants(
@@ -267,7 +322,7 @@ def encode_variants(
 ) -> Encoded:
     """Encode every applicable variant into its own columns; nulls count as 0 after encoding."""
     source = table.with_df(materialize(table.df))
-    made = variant_columns(source, variants, small)
+    source, made = variant_table(source, variants, small)
     spec = source.spec
     filled = {
         n: F.coalesce(e.cast("double"), F.lit(0.0)) for cols in made.values() for n, e in cols.items()
@@ -288,8 +343,6 @@ def encode_variants(
 
 def score_table(candidates: Sequence, scores: Sequence[float], goal: str = "min"):
     """(ordinal, candidate, score), best first; equal scores keep the order of the candidates."""
-    import pandas as pd
-
     out = pd.DataFrame({"ordinal": range(len(candidates)), "candidate": candidates, "score": scores})
     return out.sort_values(["score", "ordinal"], ascending=[goal == "min", True], ignore_index=True)
 
@@ -315,8 +368,6 @@ def forward_select(
     Columns: round, ordinal, candidate, score, improved (of the round).  Within a round the winner
     comes first.  With ``exhaust`` rounds go on until no candidate is open.
     """
-    import pandas as pd
-
     rounds, reached = [], float("inf")
     for number, table in enumerate(selection_rounds(candidates, evaluate, goal), 1):
         top = table.at[0, "score"] * (1 if goal == "min" else -1)
@@ -346,8 +397,10 @@ def unused_columns(variants: Sequence[Variant]) -> Callable[[list], list[Variant
 
 def variant_scores(encoded: Encoded, recipe: Linear, baseline: float) -> DataFrame:
     """(column, technique, score, baseline) of each variant on its own."""
+    found = encoded.scores([[v] for v in encoded.columns], recipe)
     rows = [
-        (v.column, v.technique, encoded.score([v], recipe), baseline) for v in encoded.columns
+        (v.column, v.technique, score, baseline)
+        for v, score in zip(encoded.columns, found, strict=True)
     ]
     return encoded.table.df.sparkSession.createDataFrame(
         rows, "column string, technique string, score double, baseline double"
