@@ -44,11 +44,9 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, snippet: int = SNIPPET) -> dic
     # a piece from a place that depends on the row, so that openings are not preferred
     place = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(width - snippet, F.lit(1)))
     cut = F.substring("text", place.cast("int"), F.lit(snippet))
-    chosen = (
-        known.select("lang", "doc_id", "text", F.row_number().over(order).alias("rank"))
-        .where(F.col("rank") <= rows)
-        .select("lang", "rank", cut.alias("piece"))
-    )
+    # cut before the ranking, so that a language's rows are short wherever they are sorted
+    pieces = known.select("lang", "doc_id", cut.alias("piece"))
+    chosen = pieces.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     found: dict[str, list[tuple[int, str]]] = {}
     for r in chosen.collect():
         found.setdefault(r["lang"], []).append((r["rank"], r["piece"]))

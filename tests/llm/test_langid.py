@@ -44,3 +44,39 @@ def test_filter_keeps_rows_as_they_are(small, nothing):
     assert kept.count() >= 0.95 * small.count()
     assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in small.collect()}
     assert language_filter(nothing).collect() == []
+
+
+def test_against_plain_loops(spark):
+    words = {"aa": "the house and the garden of a friend", "bb": "das haus und der garten vom freund"}
+    rows = [(i, f"{words[k]} {i} " * (i % 4 + 1), k) for i, k in enumerate(list(words) * 40)]
+    rows += [(200, None, "aa"), (201, "7 8 9", "bb"), (202, words["aa"] * 400, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    import zstandard as z
+
+    # the bound is not reached, so every labelled text is learned from, in the order of its hash
+    learned = [r for r in rows if r[1] and r[2] and zlib.crc32(str(r[0]).encode()) % 5]
+    order = {r["doc_id"]: r["h"] for r in df.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    packers = {}
+    for k in sorted(words):
+        own = sorted((r for r in learned if r[2] == k), key=lambda r: (order[r[0]], r[0]))
+        content = "\n".join(r[1] for r in own).lower().encode()
+        d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        packers[k] = z.ZstdCompressor(
+            level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+    got = {r["doc_id"]: r for r in languages(df, fit(df, snippet=1000)).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        data = text.lower().encode()
+        sizes = {
+            k: sum(len(p.compress(data[a : a + langid.BLOCK])) for a in range(0, len(data), langid.BLOCK))
+            for k, p in packers.items()
+        }
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        assert got[i]["lang_pred"] == best
+        margin = min(1.0, (max(sizes.values()) - sizes[best]) / sizes[best])
+        assert abs(got[i]["margin"] - margin) < 1e-12
+        assert got[i]["rejected"] == (margin < langid.MARGIN)
