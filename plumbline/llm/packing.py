@@ -33,6 +33,7 @@ END = 1
 BLOCK_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
 CACHE_ENTRIES = 400_000
+TASK_BITS = 33  # sequence and group numbers start with the task's number
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
     "offset long, sequence_length long, step_group long"
@@ -158,14 +159,21 @@ def pack(lengths: list[int], tiers=TIERS) -> list[tuple[int, list[tuple[int, int
     return windows
 
 
-def _block(ids: list[int], tokens: list[bytes], number: int) -> tuple[pa.RecordBatch, int]:
+def _block(
+    ids: list[int], tokens: list[bytes], number: int, filled: dict[int, int] | None = None
+) -> tuple[pa.RecordBatch, int]:
+    """Pieces of one block, and the next sequence number.
+
+    ``filled`` counts the windows of each length in the task's blocks so far.
+    """
     lengths = [len(t) // 4 for t in tokens]
     out: list[tuple] = []
-    filled: dict[int, int] = {}
+    filled = {} if filled is None else filled
+    task = number >> TASK_BITS << TASK_BITS
     for size, pieces in pack(lengths):
-        # windows of one length fill step groups of equal token counts
+        # windows of one length fill step groups of equal token counts, block after block
         dealt = filled[size] = filled.get(size, -1) + 1
-        group = (size.bit_length() << 24) | (dealt * size // STEP_TOKENS)
+        group = task | (size.bit_length() << 28) | (dealt * size // STEP_TOKENS)
         offset = 0
         for item, start, length in pieces:
             code = zlib.crc32(tokens[item][4 * start : 4 * (start + length)])
@@ -184,11 +192,13 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
     A null or empty text is one end token.  Every id of a document, with its end token, is in one
     piece; a text of any length is cut over as many windows as it fills.  Sequences carry no
     padding.  Ids may repeat or be null; other columns are ignored; an empty table gives no rows.
-    Sequence numbers are unique over all tasks and the same when a task runs again.
+    Sequence numbers are unique over all tasks and the same when a task runs again.  A step group
+    has ``STEP_TOKENS`` tokens in windows of one length, but for the last one of a task and length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << TASK_BITS
+        filled: dict[int, int] = {}
         code, end = encoder(tokenizer), np.asarray([END], "<u4").tobytes()
         ids: list[int] = []
         tokens: list[bytes] = []
@@ -199,11 +209,11 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
                 tokens.append(t + end)
                 held += len(t) // 4 + 1
             if held >= BLOCK_TOKENS:
-                batch, number = _block(ids, tokens, number)
+                batch, number = _block(ids, tokens, number, filled)
                 yield batch
                 ids, tokens, held = [], [], 0
         if ids:
-            yield _block(ids, tokens, number)[0]
+            yield _block(ids, tokens, number, filled)[0]
 
     source = docs.selectExpr(f"cast(`{id_column}` as long) id", f"`{text_column}` text")
     return source.mapInArrow(run, SCHEMA)

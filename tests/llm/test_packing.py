@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import packing
@@ -101,3 +102,32 @@ def test_blocks(small, plain, monkeypatch):
     ids, tokens = [1, 2], [b"\1\0\0\0" * 3000, b"\1\0\0\0"]
     batch, number = packing._block(ids, tokens, 7)
     assert number > 7 and sum(batch["length"].to_pylist()) == 3001
+
+
+def test_step_groups_over_blocks_and_tasks(spark, monkeypatch):
+    # two blocks in one task: groups go on in the second one
+    tokens = [b"\1\0\0\0" * 2048] * 40
+    filled = {}
+    one, number = packing._block(list(range(40)), tokens, 5 << packing.TASK_BITS, filled)
+    two, _ = packing._block(list(range(40, 80)), tokens, number, filled)
+    other, _ = packing._block(list(range(80)), tokens * 2, 6 << packing.TASK_BITS, {})
+    sizes = defaultdict(int)
+    for batch in (one, two, other):
+        for p in batch.to_pylist():
+            sizes[p["step_group"]] += p["length"]
+    # 80 windows a task: two full groups and the rest
+    assert sorted(sizes.values()) == sorted([packing.STEP_TOKENS] * 4 + [80 * 2048 - 2 * packing.STEP_TOKENS] * 2)
+
+
+def test_groups_of_many_tasks(spark):
+    text = "some words that repeat " * 4000
+    df = spark.range(96).selectExpr("id doc_id").withColumn("text", F.lit(text)).repartition(4, "doc_id")
+    rows = packing.packed(df, PATH).collect()
+    sizes, lengths = defaultdict(int), defaultdict(set)
+    for p in rows:
+        sizes[p["step_group"]] += p["length"]
+        lengths[p["step_group"]].add((p["sequence_length"], p["sequence_id"] >> packing.TASK_BITS))
+    assert max(sizes.values()) == packing.STEP_TOKENS
+    assert all(len(x) == 1 for x in lengths.values())
+    short = [x for g, n in sizes.items() if n < packing.STEP_TOKENS for x in lengths[g]]
+    assert len(short) == len(set(short))  # one unfilled group a task and length
