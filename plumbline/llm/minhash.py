@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Tables, Words, bucket_groups, mix, rolling, text_slices
+from plumbline.llm.common import Tables, Words, bucket_groups, connected, mix, rolling, text_slices
 
 SHINGLE = 5
 PERCENT = 85
@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 7  # a pair of similarity 0.85 misses every band with a chance
 LONGS = BANDS * ROWS // 32  # two bits a minimum
 SLACK = 0.15  # five standard deviations of the estimate at 0.85
 STAR_ROUNDS = 4
-SCHEMA = "id long, key binary, n_shingles long, bands array<long>, " + ", ".join(
+SCHEMA = "id long, mark string, key binary, n_shingles long, bands array<long>, " + ", ".join(
     f"s{i} long" for i in range(LONGS)
 )
 
@@ -89,8 +89,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         columns = list(zip(*rows, strict=True))
         kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64())] + [pa.int64()] * LONGS
         arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-        names = ["id", "key", "n_shingles", "bands"] + [f"s{i}" for i in range(LONGS)]
-        yield pa.RecordBatch.from_arrays([part["id"], *arrays], names)
+        names = ["id", "mark", "key", "n_shingles", "bands"] + [f"s{i}" for i in range(LONGS)]
+        yield pa.RecordBatch.from_arrays([part["id"], part["mark"], *arrays], names)
 
 
 def shingle_set(text: str, width: int = SHINGLE) -> set:
@@ -141,26 +141,26 @@ def near_groups(
     Words are runs of other than white space, lower-cased in A-Z; a text of fewer words than a
     shingle is one shingle; null texts and those without words are linked with nothing.  Rows of
     equal word sequences are one class from the start, however many, and only classes are compared.
-    Rows that share a doc_id are one document with the texts of all.  Null ids are not linked and
-    keep a null component.  Other columns are ignored; an empty table gives no rows.
+    Rows that share a doc_id are one document, linked by each of its texts.  Null ids are not linked
+    and keep a null component.  Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.md5("text").alias("mark"), "text")
     signed = tables.store(source.mapInArrow(lambda it: _signatures(it, width), SCHEMA))
     members = signed.where("id is not null and key is not null").select("id", "key")
-    leaders = members.groupBy("key").agg(F.min("id").alias("rep"))
-    classes = signed.join(leaders, (signed["id"] == leaders["rep"]) & (signed["key"] == leaders["key"]))
+    # a class is a word sequence, named by its digest; one row of it stands for all
     signs = ["n_shingles", *(f"s{i}" for i in range(LONGS))]
-    classes = tables.store(classes.select("rep", *signs, "bands").dropDuplicates(["rep"]))
-    buckets = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("bucket"))
+    known = signed.where("id is not null and key is not null")
+    classes = known.groupBy("key").agg(F.min(F.struct("id", "mark", *signs, "bands")).alias("c"))
+    classes = tables.store(classes.select(F.col("key").alias("node"), "c.*"))
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = tables.store(buckets.join(shared.select("bucket"), "bucket"))
     # texts of classes that share a bucket, the only ones that are ever compared
-    near = buckets.select(F.col("node").alias("id")).distinct()
-    texts = tables.store(
-        source.where("text is not null").join(near, "id").dropDuplicates(["id"])
-    )
+    near = classes.select("node", "id", "mark").join(buckets.select("node").distinct(), "node")
+    texts = source.join(near, ["id", "mark"]).select("node", "text")
+    texts = tables.store(texts.dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sided = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
@@ -168,11 +168,20 @@ def near_groups(
             lambda it: _confirm(it, percent, width), pairs.schema
         )
 
-    traits = classes.select(F.col("rep").alias("node"), F.struct(*signs).alias("t"))
+    traits = classes.select("node", F.struct(*signs).alias("t"))
     alike = lambda x, y: likeness(x, y, percent)
     groups = bucket_groups(tables, buckets, traits, alike, confirmed, rounds)
-    roots = members.join(leaders, "key").join(groups, F.col("rep") == F.col("node"), "left")
-    roots = roots.groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("component"))
+    placed = members.join(groups, F.col("key") == F.col("node"), "left")
+    placed = tables.store(placed.select("id", F.coalesce("root", "key").alias("root")).distinct())
+    # an id with texts in several groups makes them one
+    several = placed.groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("z"))
+    bridges = placed.join(several.where("a <> z").select("id", "a"), "id").where("a <> root")
+    bridges = tables.store(bridges.select("a", F.col("root").alias("b")).distinct())
+    if bridges._rows:
+        moved = connected(tables, bridges).toDF("root", "new")
+        placed = placed.join(moved, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("id").alias("component"))
+    roots = placed.join(smallest, "root").select("id", "component").distinct()
     out = signed.select("id", "n_shingles").join(roots, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(

@@ -60,6 +60,20 @@ def test_drifting_group_is_one_component(spark):
     assert got == expected(rows)
 
 
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " word"), (3, b + " word"), (4, c), (5, c + " word"), (5, "none"), (6, "none")]
+
+    rows += [(7, a), (9, "short one"), (9, None), (10, "short one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(df).collect()}
+    assert got == expected(rows) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 1, 9: 9, 10: 9}
+    rows += [(7, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(df).collect()}
+    assert got == expected(rows) and got[6] == 1
+
+
 def test_empty_table(nothing):
     assert near_groups(nothing).collect() == []
     assert near_dedup(nothing).columns == nothing.columns
