@@ -555,17 +555,20 @@ def label_encode_many(spark, folder):
 
 
 @query(
-    "target_mean_many",
+    "target_median_many",
     ORDERS_SQL
-    + """SELECT s.id, round(coalesce(t.m, g.m), 2) AS customer FROM sales s
-    LEFT JOIN (SELECT customer, avg(target) AS m FROM sales WHERE split = 'train' GROUP BY customer) t
+    + """SELECT s.id, round(coalesce(t.m, g.m), 4) AS customer FROM sales s
+    LEFT JOIN (SELECT customer, median(target) AS m FROM sales WHERE split = 'train' GROUP BY customer) t
       ON s.customer = t.customer,
-    (SELECT avg(target) AS m FROM sales WHERE split = 'train') g""",
+    (SELECT median(target) AS m FROM sales WHERE split = 'train') g""",
 )
-def target_mean_many(spark, folder):
-    """Target mean of a category with one level a customer, joined as a table."""
-    out = encode.target_stats_all(customer_orders(spark, folder))
-    return out.df.select("id", F.round("customer", 2).alias("customer"))
+def target_median_many(spark, folder):
+    """Target median of a category with one level a customer, joined as a table.
+
+    Medians of amounts in cents have three decimals at most, so that no rounding ends in a tie.
+    """
+    out = encode.target_stats_all(customer_orders(spark, folder), stat="median")
+    return out.df.select("id", r4("customer"))
 
 
 def target_sql(column: str, aggregate: str) -> str:
