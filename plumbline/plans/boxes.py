@@ -24,6 +24,7 @@ SAMPLE = 20_000  # rows the planes are found on
 BOXES = 1_024  # at most
 BOX_ROWS = 8_192  # rows of a box aimed at, and most rows of a piece
 PROBE_ROWS = 4_096  # most probes of a piece
+TOGETHER = 256  # probes whose distances to all boxes, or to all rows of a piece, a task holds at once
 FOUND = "__probe bigint, neighbor_id bigint, distance double"
 _NAMES = ["__probe", "neighbor_id", "distance"]
 
@@ -58,8 +59,8 @@ class Search:
         """The k best of the given rows for each of the given probes."""
         x, ids = self.points(rows), rows[self.id].to_numpy()
         out = []
-        for low in range(0, len(asked), 256):
-            some = asked.iloc[low : low + 256]
+        for low in range(0, len(asked), TOGETHER):
+            some = asked.iloc[low : low + TOGETHER]
             far = distances(x, self.points(some))
             if self.exclude_self:
                 same = some[self.id].to_numpy()[:, None] == ids
@@ -170,20 +171,24 @@ def by_boxes(
         return gap, sequence, (held < search.k + 1).sum(axis=1) + 1
 
     def meetings(second: bool):
+        def met(points: np.ndarray, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            gap, sequence, first = nearest_first(points)
+            place = np.empty_like(sequence)
+            np.put_along_axis(place, sequence, np.arange(len(number))[None, :], axis=1)
+            out = place < first[:, None]
+            if reach is not None:
+                out = ~out & (gap <= reach[:, None] * (1 + 1e-12))
+            out &= np.isfinite(points).all(axis=1)[:, None]
+            return np.nonzero(out)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                points = search.points(pdf)
-                gap, sequence, first = nearest_first(points)
-                place = np.empty_like(sequence)
-                np.put_along_axis(place, sequence, np.arange(len(number))[None, :], axis=1)
-                met = place < first[:, None]
-                if second:
-                    reach = pdf["__reach"].to_numpy(dtype=float)[:, None] * (1 + 1e-12)
-                    met = ~met & (gap <= reach)
-                met &= np.isfinite(points).all(axis=1)[:, None]
-                row, box = np.nonzero(met)
-                out = pdf.iloc[row].drop(columns=["__reach"] if second else [])
-                yield out.assign(__box=number[box])
+                for low in range(0, len(pdf), TOGETHER):
+                    some = pdf.iloc[low : low + TOGETHER]
+                    reach = some["__reach"].to_numpy(dtype=float) if second else None
+                    row, box = met(search.points(some), reach)
+                    out = some.iloc[row].drop(columns=["__reach"] if second else [])
+                    yield out.assign(__box=number[box])
 
         return run
 

@@ -84,3 +84,20 @@ def test_no_probes_and_no_rows(spark):
     for few in (boxes.FEW, 0):
         for probes, train in ((rows.limit(0), rows), (rows, rows.limit(0)), (rows, rows)):
             assert joins.nearest_neighbors(probes, train, "id", ["a", "b"], 2, few=few).count() == 0
+
+
+def test_probes_meet_the_boxes_in_small_blocks(spark):
+    x = rows_of("clustered", 3000)
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], SCHEMA)
+    wide = spark.sparkContext.accumulator(0)
+    search = boxes.Search("id", None, ["a", "b", "c"], None, 3, True)
+    plain, most = search.points, boxes.TOGETHER
+
+    def counted(part):
+        wide.add(int("__probe" in part and len(part) > most))
+        return plain(part)
+
+    search.points = counted
+    probes = rows.withColumn("__probe", F.col("id")).coalesce(1)
+    found = boxes.by_boxes(search, rows, probes, 3000, 60, 50).collect()
+    assert len({r["__probe"] for r in found}) == 3000 and wide.value == 0
