@@ -112,6 +112,21 @@ def test_tasks_merging_and_refreshing_change_nothing(rows, monkeypatch):
     np.testing.assert_allclose(got, want, atol=1e-9)
 
 
+def test_a_pass_reads_blocks_not_rows(rows, monkeypatch):
+    written, plain = [], trees.materialize
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(trees, "materialize", counted)
+    monkeypatch.setattr(trees, "WRITE_EVERY", 2)
+    few = rows.coalesce(2)
+    trees.boost(few, NAMES, "y", trees.Boosting(trees=5, rate=0.3, leaves=4), "id", F.col(ensembles.FOLD), FOLDS)
+    assert written == [2, 2, 2]
+
+
 def test_unknown_values_and_empty_tables(spark):
     data = [(i, None if i % 3 == 0 else float(i % 2), None if i == 7 else float(10 * (i % 3 == 0))) for i in range(60)]
     data.append((60, float("nan"), float("nan")))
