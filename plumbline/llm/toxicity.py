@@ -1,14 +1,19 @@
-"""Toxicity by a small convolutional network, trained in numpy on a bounded sample of labels.
+"""Toxicity by a small convolutional network, trained in numpy on all labelled rows.
 
 A word is the sum of hashed embeddings: of itself and of its first bytes, so that inflected forms
 share.  Filters over one, two and three words run over the whole text, each keeps its maximum, and
 one linear layer makes the score.  Scoring is one pass without a shuffle.  A threshold for each
-language is calibrated on labelled rows that were not trained on; the language chooses the
-threshold and never enters the score.
+language is calibrated on the labelled rows that were not trained on, a fifth; the language chooses
+the threshold and never enters the score.
+
+Few labelled rows are learned from on the driver.  Of many, some chosen by hash give the network to
+start from; in each of the rounds then every task goes on with it over all of its rows, and the
+changes are averaged: those of a word's embedding over the tasks that met the word, the others by rows.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +23,13 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Words, text_slices
 
-LABELLED_ROWS = 6_000  # most rows that are learned from, about; a fifth of them calibrates
-LABELLED_CHARS = 20_000  # longer texts are scored but not learned from
+LABELLED_ROWS = 6_000  # most rows that the driver learns from, about
+LABELLED_CHARS = 20_000  # in longer texts, and in more rows, only tasks learn
+ROUNDS, ROUND_RATE = 2, 0.003  # over all rows; the rate of the first round
+SHARD_ROWS = 4_000  # labelled rows a task learns from, at least
+MERGE_TASKS = 4
+CALIBRATES = 5  # one labelled row of so many
+GRID = 4_096  # steps between which a threshold may lie
 LANGUAGES = 500
 PREDICTED = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -126,7 +136,8 @@ class Network:
                 self.embed[rows_] -= 5 * rate * total / np.sqrt(past[rows_])[:, None]
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
+def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5, memory: dict | None = None) -> Network:
+    """``memory`` receives the sums of squared gradients."""
     net = Network()
     if not len(labels):
         net.out[:] = 0
@@ -135,7 +146,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     net.bias[0] = np.log(share / (1 - share))
     parts = [features(pa.array([t])) for t in texts]
     r = np.random.default_rng(seed)
-    memory: dict[str, np.ndarray] = {}
+    memory = {} if memory is None else memory
     # few labels are gone over more often
     epochs = max(epochs, min(30, epochs * 3000 // len(labels)))
     for turn in range(epochs):
@@ -167,33 +178,121 @@ def held_out(doc_id="doc_id"):
     )
 
 
+def threshold_of(counts: np.ndarray, hits: np.ndarray) -> float:
+    """``threshold`` from rows and toxic rows by grid step of the score, from 0 up."""
+    if not hits.any():
+        return PREDICTED
+    caught = np.cumsum(hits[::-1])[::-1]
+    f1 = 2 * caught / (np.cumsum(counts[::-1])[::-1] + hits.sum())
+    best = int(len(f1) - 1 - np.argmax(np.where(counts > 0, f1, 0.0)[::-1]))
+    below = np.flatnonzero(counts[:best])
+    return float((best + (below[-1] + 1 if len(below) else 0)) / 2 / len(counts))
+
+
+def calibrates(doc_id="doc_id"):
+    return F.pmod(F.xxhash64(doc_id), F.lit(CALIBRATES)) == 0
+
+
+PARTS = ("filters", "out", "shift", "bias")
+
+
+def learn_round(net: Network, memory: dict, learned: DataFrame, rate: float) -> Network:
+    """The network after every task has gone over its rows (text, toxic) once."""
+    shared = learned.sparkSession.sparkContext.broadcast((net, memory))  # of fixed size
+    width = BUCKETS * (SIZE + 1) + sum(getattr(net, p).size for p in PARTS) + 1
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, past = shared.value
+        own, past = copy.deepcopy(start), copy.deepcopy(past)
+        rows = 0
+        for part in text_slices(batches, "text", 1 << 19):
+            ids, first = features(part["text"])
+            labels = part["toxic"].to_numpy(zero_copy_only=False).astype(np.float32)
+            for at in range(0, len(labels), BATCH):
+                ends = first[at : at + BATCH + 1]
+                own.step(ids[ends[0] : ends[-1]], ends - ends[0], labels[at : at + BATCH], past, rate)
+            rows += len(labels)
+        if rows:
+            moved = own.embed - start.embed
+            met = moved.any(axis=1)
+            rest = [(getattr(own, p) - getattr(start, p)).ravel() * float(rows) for p in PARTS]
+            yield packed(np.concatenate([moved.ravel(), met, *rest, [rows]]).astype(np.float64))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for v in batch["v"]:
+                total += np.frombuffer(v.as_buffer())
+        yield packed(total)
+
+    changes = learned.mapInArrow(go, "v binary").repartition(MERGE_TASKS).mapInArrow(merge, "v binary")
+    total = sum((np.frombuffer(r["v"]) for r in changes.collect()), np.zeros(width))
+    shared.destroy()
+    out, rows = copy.deepcopy(net), max(total[-1], 1.0)
+    embed, met = total[: BUCKETS * SIZE].reshape(BUCKETS, SIZE), total[BUCKETS * SIZE : BUCKETS * (SIZE + 1)]
+    out.embed += (embed / np.maximum(met, 1.0)[:, None]).astype(np.float32)
+    at = BUCKETS * (SIZE + 1)
+    for p in PARTS:
+        value = getattr(out, p)
+        value += (total[at : at + value.size] / rows).reshape(value.shape).astype(np.float32)
+        at += value.size
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS):
-    """A network and thresholds by language, from about ``rows`` labelled rows chosen by hash.
+    """A network and thresholds by language, from all labelled rows.
 
     Held-out rows, and those with null text or label, are not learned from.  Of a doc_id with
-    several labels, toxic counts.
+    several labels, toxic counts.  More than about ``rows`` rows, or longer texts, are learned
+    from in tasks.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic")
     )
     size = known.count()
-    cut = int(min(1.0, rows / max(1, size)) * SPREAD)
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)) < cut)
-    texts = docs.where(F.length("text") <= LABELLED_CHARS).select("doc_id", "text", "lang")
-    sample = texts.join(known, "doc_id").limit(2 * rows).toArrow().sort_by("doc_id")
-    text, label = sample["text"].to_pylist(), np.array(sample["toxic"].to_pylist(), np.float32)
-    kept = np.arange(len(text)) % 5 != 0
-    net = train([t for t, k in zip(text, kept, strict=True) if k], label[kept])
-    rest = np.flatnonzero(~kept)
-    found = {}
-    if len(rest):
-        score = np.array([net.scores(*features(pa.array([text[i]])))[0] for i in rest])
-        lang = np.array([x or "" for x in sample["lang"].to_pylist()], object)[rest]
-        names = sorted(set(lang))
-        if len(names) > LANGUAGES:
-            raise ValueError(f"{len(names)} language labels; at most {LANGUAGES} are expected")
-        found = {n: threshold(score[lang == n], label[rest][lang == n]) for n in names}
-    return net, found
+    share = int(min(1.0, rows / max(1, size)) * SPREAD)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    short = texts.where(F.length("text") <= LABELLED_CHARS)
+    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SPREAD)) < share)
+    start = short.join(some, "doc_id").withColumn("calibrates", calibrates())
+    start = start.limit(2 * rows).toArrow().sort_by("doc_id")
+    text, label = start["text"].to_pylist(), np.array(start["toxic"].to_pylist(), np.float32)
+    kept = ~np.array(start["calibrates"].to_pylist(), bool)
+    memory: dict[str, np.ndarray] = {}
+    net = train([t for t, k in zip(text, kept, strict=True) if k], label[kept], memory=memory)
+    every = texts.join(known, "doc_id").withColumn("calibrates", calibrates())
+    whole = every.count()
+    if whole > len(text):
+        learned = every.where(~F.col("calibrates")).select("text", "toxic").coalesce(max(1, whole // SHARD_ROWS))
+        for turn in range(ROUNDS):
+            net = learn_round(net, memory, learned, ROUND_RATE / (turn + 1))
+    return net, thresholds(net, every.where("calibrates"))
+
+
+def thresholds(net: Network, rows: DataFrame) -> dict[str, float]:
+    """Threshold of every language, from all the given rows (text, lang, toxic)."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", 1 << 20):
+            step = np.minimum(shared.value.scores(*features(part["text"])) * GRID, GRID - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part["lang"], part["toxic"], pa.array(step)], ["lang", "toxic", "step"])
+
+    scored = rows.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", "toxic")
+    steps = scored.mapInArrow(run, "lang string, toxic int, step int").groupBy("lang", "step").agg(
+        F.count("*").alias("n"), F.sum("toxic").alias("hits")
+    )
+    names = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if names > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} language labels")
+    counts: dict[str, np.ndarray] = {}
+    for r in steps.collect():
+        own = counts.setdefault(r["lang"], np.zeros((2, GRID)))
+        own[:, r["step"]] = r["n"], r["hits"]
+    return {n: threshold_of(*counts[n]) for n in sorted(counts)}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -205,7 +304,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> D
     rows are scored alike; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    net, thresholds = fit(docs, labels, rows)
+    net, limits = fit(docs, labels, rows)
     shared = spark.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +317,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> D
     source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "text")
     scored = source.mapInArrow(run, SCHEMA)
     own = F.lit(PREDICTED)
-    for name, value in thresholds.items():
+    for name, value in limits.items():
         own = F.when(F.coalesce("lang", F.lit("")) == name, value).otherwise(own)
     scored = scored.withColumn("threshold", own)
     return scored.select(

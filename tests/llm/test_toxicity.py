@@ -75,3 +75,25 @@ def test_threshold():
     score = np.array([0.9, 0.8, 0.4, 0.2])
     assert 0.4 < tox.threshold(score, np.array([1, 1, 0, 0])) < 0.8
     assert tox.threshold(score, np.zeros(4)) == tox.PREDICTED
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """A word outside the rows to start from, in texts of any length, moves the score."""
+    rows, labels = corpus(600)
+    monkeypatch.setattr(tox, "SHARD_ROWS", 150)
+    monkeypatch.setattr(tox, "LABELLED_CHARS", 2_000)
+    long = [(10_000 + i, "filler " * 400 + ("rarebad" if i % 2 else "raregood"), "en") for i in range(80)]
+    docs = spark.createDataFrame([*rows, *long], "doc_id long, text string, lang string").repartition(6)
+    marks = spark.createDataFrame([*labels, *((i, int("rarebad" in t)) for i, t, _ in long)], "doc_id long, toxic int")
+    net, found = tox.fit(docs, marks, rows=200)
+    score = net.scores(*tox.features(pa.array(["filler " * 400 + w for w in ("rarebad", "raregood")])))
+    assert score[0] > score[1] + 0.05
+    assert set(found) == {"en", "fr"}
+    assert len(tox.toxicity(docs, marks, rows=200).collect()) == 680
+
+
+def test_threshold_of_counts():
+    counts, hits = np.zeros(100), np.zeros(100)
+    counts[[20, 40, 80, 90]], hits[[80, 90]] = 5, 5
+    assert 0.41 <= tox.threshold_of(counts, hits) <= 0.8
+    assert tox.threshold_of(counts, np.zeros(100)) == tox.PREDICTED
