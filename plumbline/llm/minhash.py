@@ -4,11 +4,13 @@ Per document the minima of ``BANDS * ROWS`` hash functions over its distinct wor
 taken.  Whole minima make the band keys that find candidates; of each minimum only the low two bits
 are kept, packed into ``BANDS * ROWS / 32`` longs, and the share of equal pairs of bits, corrected
 for the quarter that agrees by chance, estimates a candidate pair's similarity by bit counts.
-What the estimate leaves is confirmed on the full shingle sets.
+An odd sketch (whether the number of shingles that fall on a bit is odd) bounds the number of
+shingles that are in one set only from below, so it drops no linked pair.  What both leave is
+confirmed on the full shingle sets.
 
-Groups are found without emitting all pairs of a bucket: rounds of stars (each document against one
-centre of its buckets) join most of a group, and only documents that are still in different groups
-and share a bucket are compared in the last, complete round.
+Groups are found without emitting all pairs of a bucket: a round of stars (each document against a
+few centres of its buckets) joins most of a group, and only documents that are still in different
+groups, share a bucket and pass both bounds are emitted in the last, complete round.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ PERCENT = 85
 BANDS, ROWS = 32, 7  # a pair of similarity 0.85 misses every band with a chance of 4e-6
 LONGS = BANDS * ROWS // 32  # two bits a minimum
 SLACK = 0.15  # five standard deviations of the estimate at 0.85
-STAR_ROUNDS = 4
+SKETCH = 8  # longs of the odd sketch
+STAR_ROUNDS = 1
+SIGNS = [*(f"s{i}" for i in range(LONGS)), *(f"o{i}" for i in range(SKETCH))]
 SCHEMA = "id long, mark string, key binary, n_shingles long, bands array<long>, " + ", ".join(
-    f"s{i} long" for i in range(LONGS)
+    f"{c} long" for c in SIGNS
 )
 
 
@@ -65,6 +69,12 @@ def packed(m: np.ndarray) -> np.ndarray:
     return (two << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of distinct shingles that fall on each of ``64 * SKETCH`` bits."""
+    bits = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((bits & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, "text"):
         words = Words(part["text"], lower=True)
@@ -74,7 +84,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         for row in range(len(words)):
             a, b = int(words.first[row]), int(words.first[row + 1])
             if a == b:
-                rows.append((None, 0, None, *[None] * LONGS))
+                rows.append((None, 0, None, *[None] * len(SIGNS)))
                 continue
             sequence = b" ".join(
                 whole[words.start[a] : words.end[b - 1]].tobytes().lower().split()
@@ -85,11 +95,11 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             else:
                 found = np.unique(every[a : b - width + 1])
             m = minima(found)
-            rows.append((key, len(found), band_keys(m), *packed(m).tolist()))
+            rows.append((key, len(found), band_keys(m), *packed(m).tolist(), *odd_sketch(found).tolist()))
         columns = list(zip(*rows, strict=True))
-        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64())] + [pa.int64()] * LONGS
+        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64())] + [pa.int64()] * len(SIGNS)
         arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-        names = ["id", "mark", "key", "n_shingles", "bands"] + [f"s{i}" for i in range(LONGS)]
+        names = ["id", "mark", "key", "n_shingles", "bands", *SIGNS]
         yield pa.RecordBatch.from_arrays([part["id"], part["mark"], *arrays], names)
 
 
@@ -125,12 +135,16 @@ def _agreement(x: str, y: str):
     return F.lit(BANDS * ROWS) - differ
 
 
-def likeness(x: str, y: str, percent: int = PERCENT, slack: float = SLACK) -> tuple[Column, Column]:
-    """Whether set sizes and the corrected estimate allow a link, and the estimate."""
+def likeness(x: str, y: str, percent: int = PERCENT, slack: float = SLACK) -> Column:
+    """Whether set sizes, the corrected estimate and the odd sketches allow a link."""
     nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
     sizes = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
     estimate = (_agreement(x, y) / (BANDS * ROWS) - 0.25) / 0.75
-    return sizes & (estimate >= percent / 100 - slack), estimate
+    apart = F.lit(0)  # shingles in one set only, at least
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(F.col(f"{x}.o{i}").bitwiseXOR(F.col(f"{y}.o{i}")))
+    close = apart * (100 + percent) <= (nx + ny) * (100 - percent)
+    return sizes & (estimate >= percent / 100 - slack) & close
 
 
 def near_groups(
@@ -150,7 +164,7 @@ def near_groups(
     signed = tables.store(source.mapInArrow(lambda it: _signatures(it, width), SCHEMA))
     members = signed.where("id is not null and key is not null").select("id", "key")
     # a class is a word sequence, named by its digest; one row of it stands for all
-    signs = ["n_shingles", *(f"s{i}" for i in range(LONGS))]
+    signs = ["n_shingles", *SIGNS]
     known = signed.where("id is not null and key is not null")
     classes = known.groupBy("key").agg(F.min(F.struct("id", "mark", *signs, "bands")).alias("c"))
     classes = tables.store(classes.select(F.col("key").alias("node"), "c.*"))

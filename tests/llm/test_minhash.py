@@ -96,3 +96,34 @@ def test_corrected_estimate():
 def test_missed_pairs_are_rare():
     chance = (1 - 0.85**minhash.ROWS) ** minhash.BANDS
     assert chance < 1e-5
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets():
+    r = np.random.default_rng(2)
+    for n, apart in ((20, 0), (200, 7), (200, 60), (3000, 900)):
+        x = r.integers(0, 2**63, n + apart).astype(np.uint64)
+        a, b = (minhash.odd_sketch(s).view(np.uint64) for s in (x[:n], x[apart:]))
+        bits = sum(int(v).bit_count() for v in a ^ b)
+        assert bits <= 2 * apart and (n > 300 or bits >= 1.6 * apart)
+
+
+def test_unlike_texts_of_one_bucket_are_not_emitted(spark, monkeypatch):
+    # every two of 120 texts have a similarity of 0.75 and most share a band
+    words = [f"w{i}" for i in range(1500)]
+    texts = [" ".join([*words[:200]][: 10 * (k % 19)] + [f"x{k}y{j}" for j in range(10)] + words[10 * (k % 19) + 10 : 200]) for k in range(120)]
+    rows = list(enumerate(texts))
+    emitted, whole = [], minhash.bucket_groups
+
+    def counted(tables, buckets, traits, alike, confirmed, rounds):
+        def watched(pairs):
+            emitted.append(pairs.count())
+            return confirmed(pairs)
+
+        return whole(tables, buckets, traits, alike, watched, rounds)
+
+    monkeypatch.setattr(minhash, "bucket_groups", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(df).collect()}
+    assert got == expected(rows)
+    links = sum(100 * len(a & b) >= 85 * len(a | b) for a, b in itertools.combinations([shingle_set(t) for t in texts], 2))
+    assert sum(emitted) <= 2 * links + 60
