@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Words, text_slices
+from plumbline.llm.common import Tables, Words, text_slices
 
 LABELLED_ROWS = 6_000  # most rows that the driver learns from, about
 LABELLED_CHARS = 20_000  # in longer texts, and in more rows, only tasks learn
@@ -254,22 +254,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS):
     )
     size = known.count()
     share = int(min(1.0, rows / max(1, size)) * SPREAD)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    short = texts.where(F.length("text") <= LABELLED_CHARS)
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SPREAD)) < share)
-    start = short.join(some, "doc_id").withColumn("calibrates", calibrates())
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string"))
+    # texts meet their labels once, by the same join at any size, since labels grow with the texts
+    tables = Tables(docs.sparkSession)
+    every = tables.store(texts.join(known.hint("merge"), "doc_id").withColumn("calibrates", calibrates()))
+    some = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SPREAD)) < share
+    start = every.where((F.length("text") <= LABELLED_CHARS) & some)
     start = start.limit(2 * rows).toArrow().sort_by("doc_id")
     text, label = start["text"].to_pylist(), np.array(start["toxic"].to_pylist(), np.float32)
     kept = ~np.array(start["calibrates"].to_pylist(), bool)
     memory: dict[str, np.ndarray] = {}
     net = train([t for t, k in zip(text, kept, strict=True) if k], label[kept], memory=memory)
-    every = texts.join(known, "doc_id").withColumn("calibrates", calibrates())
-    whole = every.count()
-    if whole > len(text):
-        learned = every.where(~F.col("calibrates")).select("text", "toxic").coalesce(max(1, whole // SHARD_ROWS))
+    if every._rows > len(text):
+        learned = every.where(~F.col("calibrates")).select("text", "toxic")
+        learned = learned.coalesce(max(1, every._rows // SHARD_ROWS))
         for turn in range(ROUNDS):
             net = learn_round(net, memory, learned, ROUND_RATE / (turn + 1))
-    return net, thresholds(net, every.where("calibrates"))
+    limits = thresholds(net, every.where("calibrates"))
+    tables.drop(every)
+    return net, limits
 
 
 def thresholds(net: Network, rows: DataFrame) -> dict[str, float]:

@@ -97,3 +97,20 @@ def test_threshold_of_counts():
     counts[[20, 40, 80, 90]], hits[[80, 90]] = 5, 5
     assert 0.41 <= tox.threshold_of(counts, hits) <= 0.8
     assert tox.threshold_of(counts, np.zeros(100)) == tox.PREDICTED
+
+
+def test_texts_meet_their_labels_once(spark, monkeypatch):
+    """One merge join at any size: its figures on small tables hold for large ones."""
+    rows, labels = corpus(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    plans, whole = [], type(docs).join
+
+    def joined(self, other, *args, **kwargs):
+        out = whole(self, other, *args, **kwargs)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(type(docs), "join", joined)
+    tox.fit(docs, marks, rows=40)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0]
