@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.common import Tables, text_slices
-from plumbline.llm.tokens import encoder
+from plumbline.llm.tokens import SLICE_BYTES, encoder
 
 WINDOW = 2048
 END = 0
@@ -143,7 +143,7 @@ def cut_pieces(
         code, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
         seen = [0] * (window + 1)
         names = [x.split()[0] for x in PIECES.split(", ")]
-        for rows in text_slices(batches, "text"):
+        for rows in text_slices(batches, "text", SLICE_BYTES):
             out: list[tuple] = []
             ids = code.encode([t or "" for t in rows["text"].to_pylist()])
             for doc, tokens in zip(rows["id"].to_pylist(), ids, strict=True):

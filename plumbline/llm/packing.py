@@ -15,7 +15,6 @@ so memory holds one block and a lost executor costs its own tasks.  In a block:
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from plumbline.llm import tokens as ids_of
 from plumbline.llm.common import text_slices
 
 WINDOW = 2048
@@ -32,55 +32,24 @@ TIERS = (256, 512, 1024, 2048)
 END = 1
 BLOCK_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 400_000  # pieces in each generation of the memory
 TASK_BITS = 33  # sequence and group numbers start with the task's number
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
     "offset long, sequence_length long, step_group long"
 )
-_CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?!\S)")
 
 
-class Encoder:
-    """Ids of whole texts by the tokenizer file, as little-endian 32-bit bytes.
-
-    The tokenizer's pre-tokens never cross a blank that a visible character follows, so a text is
-    encoded piece by piece and distinct pieces are encoded once.  The memory of pieces is bounded:
-    it is emptied when full, which changes the time, not the ids.
-    """
-
+class Encoder(ids_of.Encoder):
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        out = [" " + p for p in parts]
-        out[0] = parts[0]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [self.pieces(t) for t in texts]
-        new = list(set().union(*lists) - self.known.keys()) if lists else []
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known = {}
-            new = list(set().union(*lists))
-        coded = self.model.encode_batch(new, add_special_tokens=False)
-        for piece, e in zip(new, coded, strict=True):
-            self.known[piece] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        super().__init__(path, CACHE_ENTRIES * ids_of.ENTRY_BYTES)
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -203,7 +172,7 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
         ids: list[int] = []
         tokens: list[bytes] = []
         held = 0
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", ids_of.SLICE_BYTES):
             for doc, t in zip(part["id"].to_pylist(), code.encode([x or "" for x in part["text"].to_pylist()]), strict=True):
                 ids.append(doc)
                 tokens.append(t + end)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import bestfit, registry
+from plumbline.llm import bestfit, packing, registry
 from plumbline.llm.tokens import Encoder, encoder
 
 
@@ -149,3 +149,24 @@ def test_encoder_gives_the_tokenizers_ids(texts):
     texts = [*texts, "it's we're  <|endoftext|>x, 'tis\n\n end ", " a  b\r\n'll"]
     want = [np.array(own.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert own.encode(texts) == want
+
+
+@pytest.mark.parametrize("kind", [Encoder, packing.Encoder])
+def test_new_words_are_encoded_together(kind):
+    path = registry.tokenizer(registry.BYTE_BPE)
+    own = kind(path)
+    plain, asked = own.model, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **settings):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **settings)
+
+        encode_batch = encode_batch_fast
+
+    own.model = Counting()
+    text = "first " + " ".join(f"wörd{i * 7919}," for i in range(6_000))
+    texts = [text, text + " ", "  " + text, "a\n b\nc", "", " ", "<|endoftext|> x<|endoftext|>y"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode(texts) == want and own.encode([]) == []
+    assert len(asked) < 30
