@@ -12,13 +12,15 @@ The model file is compiled into three parts that are composed with each input:
 * byte fallback rewrites a character without a piece as the pieces of its bytes, or as unknown.
 
 The shortest path in the tropical semiring (minimum over paths, sum along them) gives the pieces.
+Of a merge model, where one path weighs 0, it is sought in depth, longest pieces first.
 No piece goes on behind a word, so words are composed one by one and distinct words once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,6 +95,20 @@ class Model:
             raise ValueError("models with user-defined symbols are not compiled")
 
 
+class Known(dict):
+    """Ids of the words met, composed when first asked for."""
+
+    def __init__(self, compose: Callable[[str], bytes]):
+        super().__init__()
+        self.compose = compose
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        code = self[word] = self.compose(word)
+        return code
+
+
 class Transducer:
     def __init__(self, model: Model):
         self.model = model
@@ -105,8 +121,20 @@ class Transducer:
         self.heads = {p[:k] for p in self.id_of for k in range(1, len(p) + 1)}
         if any(BLANK in p.lstrip(BLANK) for p in self.id_of):
             raise ValueError("pieces that go on behind a word are not compiled")
+        # the trie, a dictionary of characters per node with the piece itself under "", and the next
+        # shorter arc that starts like a piece
+        self.trie: dict = {}
+        self.shorter: dict[str, str] = {}
+        for p in self.id_of:
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
+            if len(p) > 1:
+                self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id_of), p[0])
         self.lowest = min(self.score.values(), default=0.0) - 10.0  # an unknown character's score
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.ids)
+        self.plain = Known(lambda word: self.ids(BLANK + word))  # words without their blank
         self.joins: dict[tuple[str, str], bool] = {}
         self.out = [self._written(p, t) for p, _, t in model.pieces]
 
@@ -151,9 +179,45 @@ class Transducer:
             self.joins[key] = joins
         return 0.0 if joins else FAR
 
+    def merges(self, unit: str) -> list[str]:
+        """Pieces of the path of weight 0 through one word of a merge model.
+
+        The path to a position is the segmentation of what lies before it, so there is one at most,
+        and a position from which no arc goes on to the end is tried once.
+        """
+        n, trie, shorter, joins = len(unit), self.trie, self.shorter, self.joins
+        out: list[str] = []
+        dead: set[int] = set()
+        at, last, piece = 0, "", None
+        while at < n:
+            if piece is None:  # the longest arc
+                node, piece = trie, unit[at]
+                for k in range(at, n):
+                    node = node.get(unit[k])
+                    if node is None:
+                        break
+                    if "" in node:
+                        piece = node[""]
+            end = at + len(piece)
+            fits = joins.get((last, piece)) if end not in dead else False
+            if fits is None:
+                fits = self.weight(last, piece) == 0.0
+            if fits:
+                out.append(piece)
+                at, last, piece = end, piece, None
+                continue
+            piece = shorter.get(piece)
+            while piece is None:
+                dead.add(at)
+                gone = out.pop()
+                at, last, piece = at - len(gone), out[-1] if out else "", shorter.get(gone)
+        return out
+
     def shortest(self, unit: str) -> list[str]:
         """Pieces of the shortest path through one word; a character without a piece stands for
         itself.  For equal weights the path with the longer last piece counts."""
+        if self.model.kind == BPE:
+            return self.merges(unit)
         n = len(unit)
         cost = [FAR] * (n + 1)
         back = [0] * (n + 1)
@@ -185,7 +249,7 @@ class Transducer:
                 found += [self.byte_id[b] for b in piece.encode()]
             elif not found or found[-1] != self.unknown:
                 found.append(self.unknown)
-        return np.asarray(found, "<i4").tobytes()
+        return struct.pack(f"<{len(found)}i", *found)
 
     def units(self, text: str) -> list[str]:
         text = self.normalised(text)
@@ -195,15 +259,11 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit bytes."""
-        known, out = self.known, []
-        for unit in self.units(text):
-            code = known.get(unit)
-            if code is None:
-                if len(known) >= CACHE_ENTRIES:
-                    known.clear()
-                code = known[unit] = self.ids(unit)
-            out.append(code)
-        return b"".join(out)
+        if self.model.prefix and BLANK not in text:
+            words = text.split(" ")
+            if "" not in words:
+                return b"".join(map(self.plain.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, self.units(text)))
 
     def decode(self, ids: Iterator[int]) -> str:
         out = self.out

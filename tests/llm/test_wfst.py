@@ -64,3 +64,16 @@ def test_unigram_path_is_the_cheapest():
     # ▁ a b costs 3.3, ▁a b 3.5, ▁ab 3.6
     assert t.shortest("▁ab") == ["▁", "a", "b"]
     assert np.frombuffer(t.encode("ab zz"), "<i4").tolist() == [4, 5, 2, 4, 0]
+
+
+def test_arcs_of_a_merge_model_are_sought_in_depth(library):
+    """Few arcs are weighed for each piece of a long word, and blocked paths are left again."""
+    r = random.Random(3)
+    words = ["▁" + "".join(r.choice("aeinsthlor") for _ in range(r.randrange(1, 60))) for _ in range(400)]
+    t = wfst.Transducer(wfst.transducer(PATH).model)
+    asked, weight = [], t.weight
+    t.weight = lambda last, piece: asked.append(piece) or weight(last, piece)
+    found = [t.shortest(w) for w in words]
+    assert ["".join(p) for p in found] == words
+    assert [[t.id_of[x] for x in p] for p in found] == [library.encode(w[1:]) for w in words]
+    assert len(asked) <= 2 * sum(map(len, found))
