@@ -14,7 +14,6 @@ ENTRY_BYTES = 250  # what a piece takes in a dictionary, its characters and ids
 SLICE_BYTES = 1 << 23  # of text that is encoded at once
 TOGETHER = 4_000  # pieces that one call encodes as one text
 _CUT = re.compile(r" (?=\S)")
-_SPACE = re.compile(r"\s|^$")  # what does not go on as one text
 
 
 class Memory:
@@ -70,9 +69,9 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in coded]
 
     def _behind_blanks(self, pieces: list[str]) -> list[bytes]:
-        """Pieces without white space are encoded as long texts, many at once: a piece starts where
-        an id begins with a blank."""
-        solid = [not _SPACE.search(p) for p in pieces]
+        """Pieces that begin with a visible character and hold no blank are encoded as long texts, many
+        at once: a piece starts where an id begins with a blank."""
+        solid = [p != "" and not p[0].isspace() and " " not in p for p in pieces]
         plain = list(compress(pieces, solid))
         parts = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
         coded = self.model.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
@@ -85,6 +84,8 @@ class Encoder:
                 found += [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)], strict=True)]
             else:  # ids that take a blank along
                 found += self._each([" " + p for p in own])
+        if len(plain) == len(pieces):
+            return found
         rest = iter(self._each([" " + p for p, s in zip(pieces, solid, strict=True) if not s]))
         found = iter(found)
         return [next(found if s else rest) for s in solid]
@@ -102,7 +103,7 @@ class Encoder:
         # a piece is known by what follows its blank; equal ones are found and laid out by Arrow
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         distinct = lists.values.dictionary_encode()
-        pieces, number = distinct.dictionary.to_pylist(), distinct.indices
+        pieces, number = distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), distinct.indices
         edges = lists.offsets.to_numpy()
         tails = self.tails.learn(pieces)
         codes = pa.array([tails[p] for p in pieces], pa.large_binary()).take(number)

@@ -171,3 +171,13 @@ def test_new_words_are_encoded_together(kind):
     want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert own.encode(texts) == want and own.encode([]) == []
     assert len(asked) < 30
+
+
+def test_pieces_with_line_breaks_are_encoded_together():
+    code, alone = Encoder(registry.tokenizer(registry.BYTE_BPE)), []
+    each = code._each
+    code._each = lambda pieces: alone.extend(pieces) or each(pieces)
+    texts = [f"head {i} word{i}\nnext{i}\t{i}\n\n end{i}\r\n {i}　x\x1c" for i in range(300)]
+    got = code.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [code.model.encode(t).ids for t in texts]
+    assert alone == []
