@@ -14,6 +14,7 @@ from plumbline.plans.house import (
     REPLACEMENTS,
     clean_house,
 )
+from plumbline.plans.storage import materialize_wide
 from plumbline.sources.house import AMOUNTS, CONDITIONS, HOUSE_SQL, TEXT_COLUMNS, house
 
 # columns whose value is no whole number, and the digits compared
@@ -101,6 +102,6 @@ def _house_sql() -> str:
 
 @query("house_features", _house_sql())
 def house_features(spark, folder):
-    """Typo repairs, fills, ordinal codes, derived columns and the log target in one plan."""
+    """Typo repairs, fills, ordinal codes, derived columns and the log target, written at once."""
     df = clean_house(house(spark, folder)).df
-    return df.withColumns({c: F.round(c, n) for c, n in DIGITS.items()})
+    return materialize_wide(df.withColumns({c: F.round(c, n) for c, n in DIGITS.items()}))

@@ -190,3 +190,15 @@ def test_approximate_forms_are_close(spark, folder):
     for c in names:
         assert two[c]["n_distinct"] == pytest.approx(one[c]["n_distinct"], rel=0.05)
         assert (two[c]["has_null"], two[c]["type"]) == (one[c]["has_null"], one[c]["type"])
+
+
+def test_house_features_are_written_as_short_methods(spark, monkeypatch):
+    from plumbline.catalog import house as catalog
+    from plumbline.plans import storage
+
+    key, seen, write = "spark.sql.codegen.hugeMethodLimit", [], storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df: seen.append(spark.conf.get(key)) or write(df))
+    before = spark.conf.get(key, None)
+    out = catalog.house_features(spark, "/root/testdata/sf0.001")
+    assert seen == ["8000"] and spark.conf.get(key, None) == before
+    assert "CASE WHEN" not in out._jdf.queryExecution().executedPlan().toString()
