@@ -223,3 +223,61 @@ def test_final_ensemble_has_its_full_sizes():
     assert list(bases) == ["lasso", "elastic_net", "kernel_ridge", "huber_trees", "level_trees", "leaf_trees"]
     assert [bases[k].recipe.trees for k in ("huber_trees", "level_trees", "leaf_trees")] == [3000, 2200, 720]
     assert ensembles.final_bases(100, 5)["leaf_trees"].recipe.trees == 5
+
+
+def test_passes_give_the_trees_of_one_task(rows, monkeypatch):
+    for recipe in (replace(RECIPES["huber"], trees=7, feature_share=0.67, per_node=True, refresh=2, min_split=10),
+                   replace(RECIPES["leaf_wise"], row_share=0.7, bag_every=3, feature_share=0.67)):
+        fits = []
+        for most in (N, 0):
+            monkeypatch.setattr(trees, "ALONE_ROWS", most)
+            fits.append(trees.boost(rows, NAMES, "y", recipe, "id", F.col(ensembles.FOLD), FOLDS))
+        for one, other in zip(fits[0].trees, fits[1].trees, strict=True):
+            assert [t.splits for t in one] == [t.splits for t in other] and any(t.splits for t in one)
+            for a, b in zip(one, other, strict=True):
+                np.testing.assert_allclose(a.values, b.values, atol=1e-9)
+
+
+def test_masks_reach_the_leaves_of_the_walk():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 30, (3, 500)).astype(np.uint8)
+    for leaves in (1, 2, 5, trees.MASKED, trees.MASKED + 4):
+        tree = trees.Tree(values=r.normal(size=2 * leaves - 1).tolist())
+        ends = [0]
+        for k in range(leaves - 1):
+            at = ends.pop(int(r.integers(len(ends))))
+            tree.splits.append((at, int(r.integers(3)), int(r.integers(29)), 2 * k + 1, 2 * k + 2))
+            ends += [2 * k + 1, 2 * k + 2]
+        out = np.ones(500)
+        trees._Applied(tree, 30).add(x, out)
+        np.testing.assert_array_equal(out, 1 + tree.predict(x, 500))
+
+
+def test_no_fold_number_leaves_rows_out_of_the_whole_model(rows):
+    """A fold beyond the models', or none, leaves a row out of no model."""
+    recipe = RECIPES["leaf_wise"]
+    alone = trees.boost(rows, NAMES, "y", recipe, "id")
+    odd = F.when(F.col("id") % 2 == 0, 2)
+    for fold, folds in ((F.col("id") % 2 + 2, 2), (odd, 2), (F.col("id") % 3, 2)):
+        model = trees.boost(rows, NAMES, "y", recipe, "id", fold, folds)
+        np.testing.assert_allclose(model.values(list(made()[0].T)), alone.values(list(made()[0].T)), atol=1e-9)
+
+
+def fitted_sizes(spark, folder, monkeypatch, name):
+    """Trees of the boosted models that a query asks for, in order of size; few are grown."""
+    import __spark_entry__ as e
+
+    asked, plain = [], trees.boost
+
+    def seen(rows, features, target, recipe, *rest):
+        asked.append(recipe.trees)
+        return plain(rows, features, target, recipe.smaller(2), *rest)
+
+    monkeypatch.setattr(trees, "boost", seen)
+    out = e.queries()[name](spark, folder)
+    assert out.count()
+    return sorted(asked)
+
+
+def test_boosted_trees_are_grown_in_full(spark, folder, monkeypatch):
+    assert fitted_sizes(spark, folder, monkeypatch, "boosted_trees") == [720, 2200, 3000]
