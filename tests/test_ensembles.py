@@ -281,3 +281,7 @@ def fitted_sizes(spark, folder, monkeypatch, name):
 
 def test_boosted_trees_are_grown_in_full(spark, folder, monkeypatch):
     assert fitted_sizes(spark, folder, monkeypatch, "boosted_trees") == [720, 2200, 3000]
+
+
+def test_error_ensemble_is_grown_in_full(spark, folder, monkeypatch):
+    assert fitted_sizes(spark, folder, monkeypatch, "error_ensemble") == [720, 720, 2200, 2200, 3000, 3000]
