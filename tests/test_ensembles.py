@@ -285,3 +285,7 @@ def test_boosted_trees_are_grown_in_full(spark, folder, monkeypatch):
 
 def test_error_ensemble_is_grown_in_full(spark, folder, monkeypatch):
     assert fitted_sizes(spark, folder, monkeypatch, "error_ensemble") == [720, 720, 2200, 2200, 3000, 3000]
+
+
+def test_stacked_models_are_grown_in_full(spark, folder, monkeypatch):
+    assert fitted_sizes(spark, folder, monkeypatch, "stacked_models") == [720, 720, 2200, 3000]
